@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import pack
+from .token_files import read_token_files, token_folder, write_token_files
 from .url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,22 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
+
+
+def vocabulary(name: str) -> str:
+    """The installed file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_best_two_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), pieces="words", end_id=0, capacity=2048)
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_folder(spark)
+    manifest = write_token_files(_documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), pieces="spaced", end_id=2)
+    return read_token_files(manifest, folder)
