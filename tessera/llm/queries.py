@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import identify, learn_profiles
 from .line_dedup import line_dedup
 from .packing import pack
 from .token_files import read_token_files, token_folder, write_token_files
@@ -106,3 +107,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)
     manifest = write_token_files(_documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), pieces="spaced", end_id=2)
     return read_token_files(manifest, folder)
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 3)
+    profiles = learn_profiles(docs.where("part <> 1"))
+    out = identify(docs.select(F.struct("doc_id", F.coalesce(F.col("part") == 1, F.lit(True)).alias("held_out")).alias("row"), "text"), profiles, id_col="row")
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
