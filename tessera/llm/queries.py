@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .language_id import identify, learn_profiles
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .packing import pack
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, token_folder, write_token_files
 from .url_filter import url_filter
 
@@ -115,3 +117,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs.where("part <> 1"))
     out = identify(docs.select(F.struct("doc_id", F.coalesce(F.col("part") == 1, F.lit(True)).alias("held_out")).alias("row"), "text"), profiles, id_col="row")
     return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), percent=85)
