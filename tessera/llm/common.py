@@ -56,7 +56,7 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Splits batches so that none holds more than ``most`` bytes of text, but for a single longer row."""
     for batch in batches:
         if not batch.num_rows:
