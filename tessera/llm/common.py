@@ -132,3 +132,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def beside(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], judge, most: int = 8 << 20) -> DataFrame:
+    """All columns of docs and new ones computed from the text alone, without a join.
+
+    ``judge`` takes an array of texts (null: empty) and returns an array for each of ``fields`` (name, type).
+    Columns of docs with the name of a new one are replaced."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    made = [StructField(n, _parse_datatype_string(t)) for n, t in fields]
+    new = {n.lower() for n, _ in fields}
+    own = [f for f in docs.schema.fields if f.name.lower() not in new or f.name == text_col]
+    passed = [f for f in own if f.name.lower() not in new]
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in passed), F.col(f"`{text_col}`").alias("_text"))
+
+    def run(batches):
+        for part in slices(batches, text="_text", most=most):
+            got = judge(filled(part.column("_text")))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *got], names=[*(f.name for f in passed), *(n for n, _ in fields)])
+
+    return rows.mapInArrow(run, StructType([*passed, *made]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, slices
+from .common import beside, filled, slices
 
 #: n-grams of a profile.
 PROFILE = 300
@@ -133,48 +133,21 @@ class Profiles:
         return self.langs[order[0]], float(second - away[order[0]]) / most
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lang_pred and score (0 to 1, 0 where the two nearest languages are equally near) for each row.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
+    """Adds lang_pred and score (0 to 1, 0 where the two nearest languages are equally near) to the columns of docs.
 
     Only the text is read, as a whole. Null texts and texts without a letter get ``und`` and 0; so do all
     where nothing was learned. Of equally near languages the first by name wins. Repeated rows are judged
-    alike; an empty table gives none; other columns are ignored. ``id_col`` may be any column that
-    identifies a row and is passed through unchanged.
+    alike; an empty table gives none. Columns of docs named lang_pred or score are replaced, all others pass
+    through unchanged.
     """
     known = Profiles(profiles) if profiles else None
 
-    def judge(batches):
-        for part in slices(batches, most=8 << 20):
-            texts = filled(part.column("text")).to_pylist()
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if known:
-                for k, grams, counts in _per_text(texts):
-                    lang[k], score[k] = known.judge(grams, counts)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(judge, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
-
+    def judge(texts):
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if known:
+            for k, grams, counts in _per_text(texts.to_pylist()):
+                lang[k], score[k] = known.judge(grams, counts)
+        return [pa.array(lang, pa.string()), pa.array(score)]
 
-def with_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
-    """``identify`` beside all columns of docs (those named lang_pred and score are replaced), without a join."""
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    own = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in own))
-    known = Profiles(profiles) if profiles else None
-    at = [f.name for f in own].index(text_col)
-
-    def judge(batches):
-        for batch in batches:
-            for part in slices(iter([batch.rename_columns([str(i) for i in range(len(own))])]), text=str(at), most=8 << 20):
-                texts = filled(part.column(at)).to_pylist()
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if known:
-                    for k, grams, counts in _per_text(texts):
-                        lang[k], score[k] = known.judge(grams, counts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*(f.name for f in own), "lang_pred", "score"])
-
-    schema = StructType([*own, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(judge, schema)
+    return beside(docs, text_col, [("lang_pred", "string"), ("score", "double")], judge)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify, learn_profiles
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import learn, rate
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, token_folder, write_token_files
 from .url_filter import url_filter
@@ -115,8 +117,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 3)
     profiles = learn_profiles(docs.where("part <> 1"))
-    out = identify(docs.select(F.struct("doc_id", F.coalesce(F.col("part") == 1, F.lit(True)).alias("held_out")).alias("row"), "text"), profiles, id_col="row")
-    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+    out = identify(docs.select("doc_id", F.coalesce(F.col("part") == 1, F.lit(True)).alias("held_out"), "text"), profiles)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op3_substring_dedup")
@@ -128,3 +130,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "contaminated", "item_id", "overlap")
+
+
+def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with a grade: 0 toxic, 1 of low quality, 2 good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade")
+    )
+    return _documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+
+
+@query("op6_ordinal_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = learn(rated_documents(spark, sf_dir), grades=3)
+    out = rate(_documents(spark, sf_dir).select("doc_id", "text"), model)
+    return out.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"), "keep")
