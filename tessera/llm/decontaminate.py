@@ -14,7 +14,7 @@ from .common import beside, hash_words, mixed, word_array, word_ids
 #: Positions that a seed compares (1) and ignores (0). No two masks ignore the same positions, so a
 #: substituted word hides at most some of the seeds over it.
 MASKS = ("1101101111", "1110110111", "1011110111", "1111011011")
-#: Items of fewer words than a mask are sought as a whole; those of fewer than this never match.
+#: Items of fewer words than a mask are sought as a whole, without substitutions; those of fewer than this never match.
 LEAST = 5
 #: An overlap is this many consecutive words of an item (the whole item if shorter) of which at least
 #: SIMILAR percent stand at the same places of the document.
@@ -94,7 +94,7 @@ class TestSet:
             span = min(OVERLAP, len(words))
             total = np.concatenate([[0], np.cumsum(equal)])
             best = int((total[span:] - total[:-span]).max())
-            if 100 * best >= SIMILAR * span:
+            if 100 * best >= (SIMILAR if len(words) >= len(MASKS[0]) else 100) * span:
                 yield d, item, best / span
 
 
@@ -115,7 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     if none) and overlap (share of equal words in it; 0 if none) to the columns of docs.
 
     A text is contaminated if 20 consecutive words of a test item (or all, if it has fewer) stand in it at the
-    same distances with at least 80 % of them equal. Candidates are places where one of four masks of 10
+    same distances with at least 80 % of them equal; of items of fewer than 10 words, all must be. Candidates are places where one of four masks of 10
     words, which ignore 2 or 3 of them, has the hash of a place of an item; each is verified along its
     diagonal, so substituted words don't hide a passage. Words are compared lower-cased without punctuation
     at their ends.
@@ -161,6 +161,6 @@ def brute_force(text: str | None, items: list[tuple[int, str]]) -> tuple[bool, i
         for begin in range(-len(words) + 1, len(doc)):
             equal = [0 <= begin + k < len(doc) and doc[begin + k] == w for k, w in enumerate(words)]
             top = max(sum(equal[k : k + span]) for k in range(len(words) - span + 1))
-            if 100 * top >= SIMILAR * span:
+            if 100 * top >= (SIMILAR if len(words) >= len(MASKS[0]) else 100) * span:
                 best = max(best, (top / span, -item))
     return (True, -best[1], best[0]) if best[0] else (False, None, 0.0)

@@ -28,43 +28,43 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced; others pass through.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumns({"_id": F.col(id_col), "_text": text, "_row": F.xxhash64(text)})
+    base = docs.withColumns({"__ld_id": F.col(id_col), "__ld_text": text, "__ld_row": F.xxhash64(text)})
     # positions and keys of long lines; shorter ones never leave the document
     marked = F.filter(
-        F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct(i.alias("p"), line_key(x).alias("k"))),
+        F.transform(F.split("__ld_text", "\n", -1), lambda x, i: F.struct(i.alias("p"), line_key(x).alias("k"))),
         lambda s: F.char_length(s["k"]) >= min_chars,
     )
-    hashed = base.select("_id", "_row", F.transform(marked, lambda s: F.struct(s["p"].alias("p"), F.md5(s["k"]).alias("h"))).alias("_lines"))
+    hashed = base.select("__ld_id", "__ld_row", F.transform(marked, lambda s: F.struct(s["p"].alias("p"), F.md5(s["k"]).alias("h"))).alias("__ld_lines"))
     counted = (
-        hashed.select("_id", F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h"))
-        .select("_id", F.unhex("_h").alias("_h"))
+        hashed.select("__ld_id", F.explode(F.array_distinct(F.col("__ld_lines.h"))).alias("_h"))
+        .select("__ld_id", F.unhex("_h").alias("_h"))
         .groupBy("_h")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("__ld_id").alias("_keeper"))
         .where(F.col("_n") >= min_docs)
         .select("_h", "_keeper")
     )
-    lines = hashed.select("_id", "_row", F.explode("_lines").alias("_l")).select("_id", "_row", F.col("_l.p").alias("_p"), F.unhex("_l.h").alias("_h"))
+    lines = hashed.select("__ld_id", "__ld_row", F.explode("__ld_lines").alias("_l")).select("__ld_id", "__ld_row", F.col("_l.p").alias("_p"), F.unhex("_l.h").alias("_h"))
     drops = (
         lines.join(counted, "_h")
-        .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
-        .groupBy(F.col("_id").alias("_did"), F.col("_row").alias("_drow"))
-        .agg(F.array_sort(F.collect_set("_p")).alias("_drop"))
+        .where(~F.col("__ld_id").eqNullSafe(F.col("_keeper")))
+        .groupBy(F.col("__ld_id").alias("__ld_did"), F.col("__ld_row").alias("__ld_drow"))
+        .agg(F.array_sort(F.collect_set("_p")).alias("__ld_drop"))
     )
-    met = base.join(drops.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
-    split = F.split("_text", "\n", -1)
+    met = base.join(drops.hint("shuffle_hash"), F.col("__ld_id").eqNullSafe(F.col("__ld_did")) & (F.col("__ld_row") == F.col("__ld_drow")), "left")
+    split = F.split("__ld_text", "\n", -1)
     # the runs of lines between dropped positions
     runs = F.zip_with(
-        F.concat(F.array(F.lit(0)), F.transform("_drop", lambda p: p + 1)),
-        F.concat(F.col("_drop"), F.array(F.size("_all"))),
-        lambda a, b: F.slice(F.col("_all"), a + 1, b - a),
+        F.concat(F.array(F.lit(0)), F.transform("__ld_drop", lambda p: p + 1)),
+        F.concat(F.col("__ld_drop"), F.array(F.size("__ld_all"))),
+        lambda a, b: F.slice(F.col("__ld_all"), a + 1, b - a),
     )
-    out = met.withColumn("_all", split)
-    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    out = met.withColumn("__ld_all", split)
+    kept = F.when(F.col("__ld_drop").isNull(), F.col("__ld_text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     out = out.withColumns(
         {
             "kept_text": kept,
-            "n_lines": F.size("_all").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+            "n_lines": F.size("__ld_all").cast("long"),
+            "n_dropped": F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long"),
         }
     )
-    return out.drop("_id", "_text", "_row", "_did", "_drow", "_drop", "_all")
+    return out.drop("__ld_id", "__ld_text", "__ld_row", "__ld_did", "__ld_drow", "__ld_drop", "__ld_all")
