@@ -145,11 +145,11 @@ def beside(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], judge,
     new = {n.lower() for n, _ in fields}
     own = [f for f in docs.schema.fields if f.name.lower() not in new or f.name == text_col]
     passed = [f for f in own if f.name.lower() not in new]
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in passed), F.col(f"`{text_col}`").alias("_text"))
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in passed), F.col(f"`{text_col}`").alias("__bs_text"))
 
     def run(batches):
-        for part in slices(batches, text="_text", most=most):
-            got = judge(filled(part.column("_text")))
+        for part in slices(batches, text="__bs_text", most=most):
+            got = judge(filled(part.column("__bs_text")))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *got], names=[*(f.name for f in passed), *(n for n, _ in fields)])
 
     return rows.mapInArrow(run, StructType([*passed, *made]))

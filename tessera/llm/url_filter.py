@@ -73,6 +73,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     )
     expressions = expressions.withColumn("_rp", F.substring("_d", 1, PREFIX_BYTES))
     hits = expressions.join(F.broadcast(made) if few else made, "_rp").where(F.col("_d") == F.col("_rd"))
-    best = hits.groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(F.max(F.struct("_rank", "_rule", "_verdict")).alias("_best"))
-    met = base.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return met.withColumns({"rule": F.col("_best._rule"), "verdict": F.coalesce(F.col("_best._verdict"), F.lit(default))}).drop("_h", "_p", "_best")
+    best = hits.groupBy(F.col("host").alias("__uf_h"), F.col("path").alias("__uf_p")).agg(F.max(F.struct("_rank", "_rule", "_verdict")).alias("__uf_best"))
+    met = base.join(best, (F.col("host") == F.col("__uf_h")) & (F.col("path") == F.col("__uf_p")), "left")
+    return met.withColumns({"rule": F.col("__uf_best._rule"), "verdict": F.coalesce(F.col("__uf_best._verdict"), F.lit(default))}).drop("__uf_h", "__uf_p", "__uf_best")
