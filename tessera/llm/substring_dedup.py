@@ -120,7 +120,7 @@ def _split(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
         d = doc[s]
         meta = [docs[d], keys[d], s - first[d], n]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        pack = pa.Codec("zstd", compression_level=1)
+        pack = pa.Codec("zstd", compression_level=6)
         blobs = []
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             raw = np.array([y - x], "<i8").tobytes() + np.concatenate([m[x:y] for m in meta]).astype("<i8").tobytes() + b"".join(pieces[x:y])
