@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower
 
+#: The hashes held by most documents that the marking join spreads, and over how many partitions each.
+HOT_KEYS, SALTS = 256, 32
+
 
 def line_key(line: Column) -> Column:
     """The line without blanks at its ends, A-Z lower-cased."""
@@ -18,8 +21,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document with the largest id that holds it. Adds kept_text, n_lines and n_dropped to the columns of docs.
 
     Counting is a partial aggregate over each document's distinct keys, so a line of every third document
-    sends one row from each task; the join that marks lines is a plain equi-join, which AQE splits where
-    skewed. Only 16-byte hashes, ids and positions are exploded; the text is shuffled once, to meet the
+    sends one row from each task; the join that marks lines spreads the hashes of most documents over salted
+    keys. Only 16-byte hashes, ids and positions are exploded; the text is shuffled once, to meet the
     positions that it loses.
 
     Null or empty text is one empty line (kept_text ''). A repeated row counts as another document; equal
@@ -41,11 +44,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("_h")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("__ld_id").alias("_keeper"))
         .where(F.col("_n") >= min_docs)
-        .select("_h", "_keeper")
+    )
+    # at most HOT_KEYS hashes are spread over SALTS partitions; this table is bounded, so it is broadcast
+    hot = counted.orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).select("_h", F.lit(True).alias("_hot"))
+    counted = counted.join(F.broadcast(hot), "_h", "left").select(
+        "_h", "_keeper", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_s")
     )
     lines = hashed.select("__ld_id", "__ld_row", F.explode("__ld_lines").alias("_l")).select("__ld_id", "__ld_row", F.col("_l.p").alias("_p"), F.unhex("_l.h").alias("_h"))
+    lines = lines.join(F.broadcast(hot), "_h", "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64("__ld_id"), F.lit(SALTS)).cast("int")).otherwise(0))
     drops = (
-        lines.join(counted, "_h")
+        lines.join(counted, ["_h", "_s"])
         .where(~F.col("__ld_id").eqNullSafe(F.col("_keeper")))
         .groupBy(F.col("__ld_id").alias("__ld_did"), F.col("__ld_row").alias("__ld_drow"))
         .agg(F.array_sort(F.collect_set("_p")).alias("__ld_drop"))
