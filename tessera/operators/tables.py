@@ -16,7 +16,7 @@ def _cells(line: Column) -> Column:
 def _collapsed(names: Column, cells: Column) -> Column:
     """Array of (k, v) by header: a name that stands twice keeps its first place and its last value."""
     pairs = F.transform(names, lambda n, i: F.struct(n.alias("k"), F.coalesce(F.get(cells, i), F.lit("")).alias("v")))
-    return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("k"), F.element_at(F.filter(pairs, lambda e: e["k"] == n), -1)["v"].alias("v")))
+    return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("k"), F.try_element_at(F.filter(pairs, lambda e: e["k"] == n), F.lit(-1))["v"].alias("v")))
 
 
 def markdown_tables(sections: DataFrame) -> DataFrame:

@@ -4,7 +4,548 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import decision, graph_frames, knowledge, links, outline, rank, schema_docs, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str, text: str | None = None) -> DataFrame:
+    """documents as (graph_id, source, text), the text rewritten by a SQL expression."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("graph_id"), F.lit("").alias("source"), F.expr(text or "text").alias("text"))
+
+
+# Markdown made of documents: each line that begins with a word gets a heading of that word, its level by length.
+MARKDOWN = r"regexp_replace(text, '(?m)^([A-Z][a-z]+) ', '\n## $1\n$1 ')"
+MARKDOWN_SQL = r"regexp_replace(text, '(?m)^([A-Z][a-z]+) ', chr(10) || '## \1' || chr(10) || '\1 ', 'g')"
+NESTED = r"regexp_replace(regexp_replace(text, '(?m)^([A-Z][a-z]{0,3}) ', '\n# $1\n$1 '), '(?m)^([A-Z][a-z]{4,}) ', '\n### $1\n$1 ')"
+NESTED_SQL = r"regexp_replace(regexp_replace(text, '(?m)^([A-Z][a-z]{0,3}) ', chr(10) || '# \1' || chr(10) || '\1 ', 'g'), '(?m)^([A-Z][a-z]{4,}) ', chr(10) || '### \1' || chr(10) || '\1 ', 'g')"
+
+
+def _sections_sql(markdown: str) -> str:
+    """DuckDB rows (doc_id, i, title, level, content) of headed sections after the first heading."""
+    return rf"""
+parts AS (SELECT doc_id, string_split(regexp_replace({markdown}, '(?m)^(#+)[ \t]+(.+)$', chr(57345) || '\1' || chr(57346) || '\2' || chr(57347), 'g'), chr(57345)) AS p FROM documents),
+raw AS (SELECT doc_id, unnest(p[2:]) AS x, unnest(range(0, len(p) - 1)) AS i FROM parts),
+sections AS (SELECT doc_id, i, length(split_part(x, chr(57346), 1)) AS level, trim(split_part(split_part(x, chr(57346), 2), chr(57347), 1)) AS title,
+  regexp_replace(split_part(x, chr(57347), 2), '^\s+|\s+$', '', 'g') AS content FROM raw)"""
+
+
+@query(
+    "tokenize",
+    r"""SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\pL\pN]+')) AS token FROM documents) WHERE token <> '' GROUP BY token""",
+)
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STEM_SQL = "CASE " + " ".join(f"WHEN ends_with(token, '{e}') AND length(token) - {len(e)} >= 3 THEN left(token, length(token) - {len(e)})" for e in T.STEM_ENDINGS) + " ELSE token END"
+
+
+@query(
+    "stem_tokens",
+    rf"""SELECT {_STEM_SQL} AS stem, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\pL\pN]+')) AS token FROM documents) WHERE token <> '' GROUP BY 1""",
+)
+def stem_tokens(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("t"))
+    return t.groupBy("t").agg(F.count(F.lit(1)).alias("c")).groupBy(T.stem(F.col("t")).alias("stem")).agg(F.sum("c").alias("n"))
+
+
+_SENTENCES_SQL = r"""SELECT {key}, unnest(s) AS sentence, unnest(range(0, len(s))) AS sentence_index FROM (SELECT {key}, list_filter(string_split(regexp_replace(trim(regexp_replace({text}, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(57345), 'g'), chr(57345)), lambda x: length(x) >= 30) AS s FROM {frm})"""
+
+
+@query("sentences", f"SELECT doc_id, sentence_index, sentence FROM ({_SENTENCES_SQL.format(key='doc_id', text='text', frm='documents')})")
+def sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "sentence"))
+
+
+@query(
+    "paragraphs",
+    r"""SELECT doc_id, unnest(p) AS paragraph, unnest(range(0, len(p))) AS paragraph_index FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || chr(10)), '\n{2,}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)""",
+)
+def paragraphs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return d.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph_index", "paragraph"))
+
+
+@query("sections", f"WITH {_sections_sql(MARKDOWN_SQL)} SELECT doc_id, i AS section_index, title, level, md5(content) AS content_md5 FROM sections")
+def sections(spark, sf_dir):
+    s = outline.section_rows(_docs(spark, sf_dir, MARKDOWN), before=None)
+    s = s.join(_docs(spark, sf_dir, MARKDOWN).where(r"text rlike '(?m)^#+[ \t]+.+$'").select("graph_id"), "graph_id", "left_semi")
+    return s.select(F.col("graph_id").cast("long").alias("doc_id"), F.col("i").alias("section_index"), "title", "level", F.md5("content").alias("content_md5"))
+
+
+@query(
+    "section_containment",
+    f"""WITH {_sections_sql(NESTED_SQL)} SELECT s.doc_id, s.i AS section_index, max(p.i) AS parent_index FROM sections s JOIN sections p ON s.doc_id = p.doc_id AND p.i < s.i AND p.level < s.level GROUP BY 1, 2""",
+)
+def section_containment(spark, sf_dir):
+    s = outline.with_parents(outline.section_rows(_docs(spark, sf_dir, NESTED), before=None)).where("parent IS NOT NULL")
+    return s.select(F.col("graph_id").cast("long").alias("doc_id"), F.col("i").alias("section_index"), F.col("parent").alias("parent_index"))
+
+
+@query(
+    "section_references",
+    f"""WITH {_sections_sql(MARKDOWN_SQL)}, names AS (SELECT doc_id, lower(title) AS t, max(i) AS j FROM sections GROUP BY 1, 2)
+SELECT s.doc_id, s.i AS section_index, n.j AS target_index FROM sections s JOIN names n ON s.doc_id = n.doc_id AND contains(lower(s.content), n.t) AND s.i <> n.j""",
+)
+def section_references(spark, sf_dir):
+    s = outline.section_rows(_docs(spark, sf_dir, MARKDOWN), before=None)
+    s = s.join(_docs(spark, sf_dir, MARKDOWN).where(r"text rlike '(?m)^#+[ \t]+.+$'").select("graph_id"), "graph_id", "left_semi")
+    return outline.heading_mentions(s).select(F.col("graph_id").cast("long").alias("doc_id"), F.col("i").alias("section_index"), F.col("j").alias("target_index"))
+
+
+@query("urls", r"""SELECT page_id, unnest(list_transform(regexp_extract_all('see ' || url || '., and ' || html, 'https?://[^\s)>\]]+'), lambda u: rtrim(u, '.,'))) AS url FROM pages""")
+def urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(T.urls(F.concat(F.lit("see "), F.col("url"), F.lit("., and "), F.col("html")))).alias("url"))
+
+
+_CITED = "concat(text, ' [', doc_id % 7, ', ', doc_id % 5, '] (Smith et al., 20', lpad(cast(doc_id % 30 as string), 2, '0'), ')')"
+_CITED_SQL = "text || ' [' || doc_id % 7 || ', ' || doc_id % 5 || '] (Smith et al., 20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') || ')'"
+
+
+@query(
+    "citations",
+    rf"""WITH t AS (SELECT doc_id, {_CITED_SQL} AS x FROM documents)
+SELECT doc_id, unnest(list_concat(flatten(list_transform(regexp_extract_all(x, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda n: list_transform(string_split(n, ','), lambda y: trim(y)))),
+  regexp_extract_all(x, '\(([A-Z][A-Za-z-]+(?:\s+et\s+al\.)?,\s*(?:19|20)\d\d)\)', 1))) AS citation FROM t""",
+)
+def citations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CITED).alias("x"))
+    return d.select("doc_id", F.explode(T.citations(F.col("x"))).alias("citation"))
+
+
+@query(
+    "citation_resolution",
+    """WITH refs AS (SELECT n_regionkey AS k, min(n_nationkey) AS entry FROM nation GROUP BY 1)
+SELECT doc_id, CAST(c AS VARCHAR) AS citation, entry FROM (SELECT doc_id, unnest(list_distinct([doc_id % 7, doc_id % 5])) AS c FROM documents) JOIN refs ON c = k""",
+)
+def citation_resolution(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").orderBy("n_nationkey")
+    lines = n.select(F.concat(F.lit("["), F.col("n_regionkey"), F.lit("] "), F.col("n_name"), F.lit(" "), F.col("n_nationkey")).alias("line"), "n_nationkey")
+    # one list of references: 25 lines, kept in order by key
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))), lambda e: e["line"]), "\n").alias("content"))
+    refs = knowledge.references(text.select(F.lit("g").alias("graph_id"), F.lit("").alias("source"), F.lit(0).alias("i"), F.lit("References").alias("title"), "content"))
+    cited = table(spark, sf_dir, "documents").select(F.lit("g").alias("graph_id"), F.col("doc_id").cast("string").alias("id"), F.explode(T.citations(F.expr("concat('[', doc_id % 7, ', ', doc_id % 5, ']')"))).alias("cite"), F.array(F.lit(0)).alias("pos")).distinct()
+    found = knowledge.resolved(cited, refs)
+    back = found.join(refs.select(F.col("ref_id").alias("dst"), "content", "key"), "dst")
+    return back.select(F.col("src").cast("long").alias("doc_id"), F.col("key").alias("citation"), F.regexp_extract("content", r"(\d+)$", 1).cast("int").alias("entry"))
+
+
+@query("concepts_topn", r"""
+WITH p AS (SELECT doc_id, unnest(x) AS raw, unnest(range(0, len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z][A-Za-z0-9-]*){1,4}\b') AS x FROM documents)),
+n AS (SELECT doc_id, pos, trim(lower(regexp_replace(raw, '\s+', ' ', 'g')), ' .,:;()[]`*_') AS concept FROM p),
+c AS (SELECT doc_id, concept, count(*) AS frequency, min(pos) AS seen FROM n WHERE length(concept) >= 8 AND contains(concept, ' ')
+  AND split_part(concept, ' ', 1) NOT IN ('this', 'that', 'these', 'those', 'there', 'where', 'when') AND concept NOT IN ('this paper', 'this document', 'the paper', 'the document', 'our approach', 'we propose', 'we show', 'we present') GROUP BY 1, 2)
+SELECT doc_id, concept, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, seen) AS k FROM c) WHERE k <= 40""")
+def concepts_topn(spark, sf_dir):
+    return knowledge.concepts(_docs(spark, sf_dir)).select(F.col("graph_id").cast("long").alias("doc_id"), "concept", "frequency")
+
+
+_CUED = "replace(replace(text, 'the ', 'evaluation '), ' and ', ' we show ')"
+
+
+def _cue_sql(cues: list[str]) -> str:
+    return " OR ".join(f"contains(lower(sentence), '{c}')" for c in cues)
+
+
+_CUE_ROWS = f"SELECT doc_id, sentence_index, sentence, ({_cue_sql(T.CLAIM_CUES)}) AS claim, ({_cue_sql(T.EVIDENCE_CUES)}) AS evidence FROM ({_SENTENCES_SQL.format(key='doc_id', text=_CUED, frm='documents')})"
+
+
+def _cues(spark, sf_dir):
+    s = outline.section_rows(_docs(spark, sf_dir, _CUED))
+    return knowledge.cue_sentences(s).select(F.col("graph_id").cast("long").alias("doc_id"), F.col("p").alias("sentence_index"), "sentence", "claim", "evidence")
+
+
+@query("claims", f"SELECT doc_id, sentence_index, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index) AS k FROM ({_CUE_ROWS}) WHERE claim) WHERE k <= 30")
+def claims(spark, sf_dir):
+    return links.top_per(_cues(spark, sf_dir).where("claim"), "doc_id", ["sentence_index"], 30).select("doc_id", "sentence_index", "sentence")
+
+
+@query("evidence", f"SELECT doc_id, sentence_index, sentence FROM ({_CUE_ROWS}) WHERE evidence")
+def evidence(spark, sf_dir):
+    return _cues(spark, sf_dir).where("evidence").select("doc_id", "sentence_index", "sentence")
+
+
+_TERMS_SQL = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[A-Za-z][A-Za-z0-9-]{{3,}}')), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T._COMMON) + "))"
+
+
+@query(
+    "support_edges",
+    f"""WITH cues AS ({_CUE_ROWS}), c AS (SELECT doc_id, sentence_index AS ci, {_TERMS_SQL.format(x='sentence')} AS ct FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index) AS k FROM cues WHERE claim) WHERE k <= 30),
+e AS (SELECT doc_id, sentence_index AS ei, {_TERMS_SQL.format(x='sentence')} AS et FROM cues WHERE evidence),
+j AS (SELECT c.doc_id, ci, ei, row_number() OVER (PARTITION BY c.doc_id, ci ORDER BY len(list_intersect(ct, et)) DESC, abs(ci - ei), lpad(CAST(ei AS VARCHAR), 6, '0')) AS k FROM c JOIN e ON c.doc_id = e.doc_id)
+SELECT doc_id, ci AS claim_index, ei AS evidence_index, k AS rank FROM j WHERE k <= 5""",
+)
+def support_edges(spark, sf_dir):
+    cues = _cues(spark, sf_dir)
+    # ids that sort by place, so that both sides break ties alike
+    shape = lambda d: d.select(F.col("doc_id").alias("graph_id"), F.lpad(F.col("sentence_index").cast("string"), 6, "0").alias("id"), F.lit(0).alias("i"), F.col("sentence_index").alias("p"), F.col("sentence").alias("x"))
+    s = knowledge.support(shape(links.top_per(cues.where("claim"), "doc_id", ["sentence_index"], 30)), shape(cues.where("evidence")))
+    return s.select(F.col("graph_id").alias("doc_id"), F.col("cp").alias("claim_index"), F.col("dst").cast("int").alias("evidence_index"), F.col("k").alias("rank"))
+
+
+@query(
+    "definitions",
+    r"""WITH l AS (SELECT p_partkey, unnest(['- ' || p_name || ' item: the kind ' || p_type || ' by ' || p_brand, 'Note: nothing of interest here', '**' || p_brand || ' thing** -- again ' || p_type]) AS x, unnest([0, 1, 2]) AS k FROM part),
+d AS (SELECT p_partkey, k, regexp_extract(x, '^(?:[-*]\s+)?(?:\*\*)?([A-Za-z][A-Za-z0-9 /+-]{1,80}?)(?:\*\*)?\s*(?::|--| - )\s+(.{12,})$', 1) AS term, regexp_extract(x, '^(?:[-*]\s+)?(?:\*\*)?([A-Za-z][A-Za-z0-9 /+-]{1,80}?)(?:\*\*)?\s*(?::|--| - )\s+(.{12,})$', 2) AS body FROM l)
+SELECT p_partkey, trim(term) AS term, body, lower(trim(term)) AS concept FROM d WHERE body <> '' AND lower(trim(term)) NOT IN ('note') AND length(trim(term)) >= 8 AND contains(trim(term), ' ')""",
+)
+def definitions(spark, sf_dir):
+    text = "concat('- ', p_name, ' item: the kind ', p_type, ' by ', p_brand, '\nNote: nothing of interest here\n**', p_brand, ' thing** -- again ', p_type)"
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("graph_id"), F.lit("").alias("source"), F.lit(0).alias("i"), F.lit("").alias("title"), F.expr(text).alias("content"))
+    return knowledge.definitions(p).select(F.col("graph_id").cast("long").alias("p_partkey"), "term", "body", "concept")
+
+
+_ORDER_TABLE = "concat('Orders follow\n| Order | Total | Note |\n| --- | :---: | --- |\n| ', o_orderkey, ' | ', cast(o_totalprice as decimal(18,2)), ' | `', o_orderpriority, '` |\n| none | <br> | |\n| | | |\nend')"
+
+
+def _order_sections(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("graph_id"), F.lit("").alias("source"), F.lit(0).alias("i"), F.lit("t").alias("title"), F.expr(_ORDER_TABLE).alias("content"))
+
+
+@query(
+    "md_table_rows",
+    """SELECT o_orderkey, unnest([0, 1]) AS row_index, 2 AS n_rows, unnest(['Order: ' || o_orderkey || ' | Total: ' || CAST(o_totalprice AS DECIMAL(18,2)) || ' | Note: ' || o_orderpriority, 'Order: none']) AS row_text FROM orders""",
+)
+def md_table_rows(spark, sf_dir):
+    r = tables.markdown_tables(_order_sections(spark, sf_dir))
+    return r.select(F.col("graph_id").cast("long").alias("o_orderkey"), F.col("r").alias("row_index"), "n_rows", "row_text")
+
+
+@query("table_evidence", """SELECT o_orderkey, 0 AS row_index FROM orders""")
+def table_evidence(spark, sf_dir):
+    r = tables.markdown_tables(_order_sections(spark, sf_dir)).where(tables.is_evidence(F.col("row_text")))
+    return r.select(F.col("graph_id").cast("long").alias("o_orderkey"), F.col("r").alias("row_index"))
+
+
+@query(
+    "node_ids",
+    r"""SELECT doc_id, 'claim:' || coalesce(nullif(left(trim(regexp_replace(lower(v), '[^a-zA-Z0-9]+', '_', 'g'), '_'), 70), ''), 'item') || ':' || left(sha1(v), 10) AS node_id FROM (SELECT doc_id, source || chr(0) || text AS v FROM documents)""",
+)
+def node_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.scoped_id("claim", F.col("source"), F.col("text")).alias("node_id"))
+
+
+_SCHEMA = "concat('# ', n_name, '\n| Field | Type | Notes |\n|---|---|---|\n| `', lower(n_name), '_key` | INT | Primary key, not null |\n| region_id | BIGINT | references region_', n_regionkey, ' |\n| plain | TEXT | |\n# Region_', n_regionkey, '\n| Field | Type |\n|---|---|\n| key | INT |\n')"
+
+
+def _schema_docs(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("graph_id"), F.lit("").alias("source"), F.expr(_SCHEMA).alias("text"))
+
+
+@query(
+    "schema_columns",
+    """SELECT n_nationkey, n_name AS table_name, lower(n_name) || '_key INT PK NOT NULL, region_id BIGINT references region_' || n_regionkey || ', plain TEXT' AS columns FROM nation
+UNION ALL SELECT n_nationkey, 'Region_' || n_regionkey, 'key INT' FROM nation""",
+)
+def schema_columns(spark, sf_dir):
+    g = schema_docs.schema_graph(_schema_docs(spark, sf_dir))
+    return g.nodes.select(F.col("graph_id").cast("int").alias("n_nationkey"), F.col("label").alias("table_name"), F.col("content").alias("columns"))
+
+
+@query("schema_fk_edges", """SELECT n_nationkey, replace(lower(n_name), ' ', '_') AS src, 'region_' || n_regionkey AS dst FROM nation""")
+def schema_fk_edges(spark, sf_dir):
+    g = schema_docs.schema_graph(_schema_docs(spark, sf_dir))
+    return g.edges.select(F.col("graph_id").cast("int").alias("n_nationkey"), "src", "dst")
+
+
+_ADR = "concat('# Problem\nOrder ', o_orderkey, ' is late.\n# Option A: ', o_orderpriority, '\nShip now.\n- Pro: quick\n# Option B: wait\n- Con: slow\n# Decision\nWe choose ', o_orderpriority, '. Status: accepted\n- Confidence: high\n# Outcomes\n- More work\n')"
+
+
+def _adrs(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("graph_id"), F.lit("").alias("source"), F.expr(_ADR).alias("text"))
+
+
+@query(
+    "decision_roles",
+    """SELECT o_orderkey, unnest([0, 1, 2, 3, 4]) AS section_index, unnest(['problem', 'option', 'option', 'decision', 'consequence']) AS role, unnest([NULL, NULL, NULL, 'accepted', NULL]) AS status FROM orders""",
+)
+def decision_roles(spark, sf_dir):
+    e = decision.events(_adrs(spark, sf_dir)).where("scope = 'section'")
+    return e.select(F.col("graph_id").cast("long").alias("o_orderkey"), F.get("at", F.lit(0)).alias("section_index"), "role", "status")
+
+
+@query(
+    "decision_items",
+    """SELECT o_orderkey, unnest([1, 2, 3, 4]) AS section_index, unnest(['pros', 'cons', 'confidence', 'consequence']) AS role, unnest(['Pro: quick', 'Con: slow', 'Confidence: high', 'More work']) AS text FROM orders""",
+)
+def decision_items(spark, sf_dir):
+    e = decision.events(_adrs(spark, sf_dir)).where("scope = 'item'")
+    return e.select(F.col("graph_id").cast("long").alias("o_orderkey"), F.get("at", F.lit(0)).alias("section_index"), "role", "text")
+
+
+@query(
+    "decision_edges",
+    """SELECT label, from_role, to_role, count(*) * (SELECT count(*) FROM orders) AS n FROM (VALUES
+('contains','decision_document','problem'),('contains','decision_document','option'),('contains','decision_document','option'),('contains','decision_document','decision'),('contains','decision_document','consequence'),
+('contains','option','pros'),('contains','option','cons'),('contains','decision','confidence'),('contains','consequence','consequence'),
+('has_option','problem','option'),('has_option','problem','option'),('pros','option','pros'),('cons','option','cons'),('resolved_by','problem','decision'),('selects','decision','option'),
+('has_confidence','decision','confidence'),('has_consequence','decision','consequence'),('has_consequence','decision','consequence'),('has_consequence','option','consequence'),('has_consequence','option','consequence')) t(label, from_role, to_role) GROUP BY 1, 2, 3""",
+)
+def decision_edges(spark, sf_dir):
+    e = decision.decision_edges(decision.events(_adrs(spark, sf_dir))).select("graph_id", "src", "dst", "label").distinct()
+    kind = lambda c: F.substring_index(c, ":", 1)
+    return e.groupBy("label", kind("src").alias("from_role"), kind("dst").alias("to_role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("option_selection", """SELECT o_orderkey, 1 AS option_section FROM orders""")
+def option_selection(spark, sf_dir):
+    log = decision.events(_adrs(spark, sf_dir))
+    sel = decision.decision_edges(log).where("label = 'selects'").select("graph_id", F.col("dst").alias("id"))
+    return sel.join(log.where("role = 'option'"), ["graph_id", "id"]).select(F.col("graph_id").cast("long").alias("o_orderkey"), F.get("at", F.lit(0)).cast("int").alias("option_section"))
+
+
+_CHART = "concat(text, ' ', element_at(array('legend of the x-axis', 'the trend line in 2021 of revenue', 'pie slice', 'row and column total', 'growth in q3', 'nothing'), cast(doc_id % 6 as int) + 1))"
+_CHART_SQL = "text || ' ' || ['legend of the x-axis', 'the trend line in 2021 of revenue', 'pie slice', 'row and column total', 'growth in q3', 'nothing'][doc_id % 6 + 1]"
+
+
+def _chart_case() -> str:
+    folded = "regexp_replace(lower(x), '[^\\x00-\\x7F]', '_', 'g')"
+    parts = [f"CASE WHEN regexp_matches({folded}, '\\b({'|'.join(words)})\\b') THEN '{name}' END" for name, words in T.CHART_CUES.items()]
+    parts.append(f"CASE WHEN regexp_matches({folded}, '\\b(q[1-4]|20\\d\\d|19\\d\\d)\\b') AND regexp_matches({folded}, '\\b(%|\\$|revenue|growth|rate)\\b') THEN 'time_series_or_metric_chart' END")
+    return f"[{', '.join(parts)}]"
+
+
+@query("chart_cues", f"SELECT doc_id, array_to_string(list_sort(list_filter({_chart_case()}, lambda c: c IS NOT NULL)), ',') AS cues FROM (SELECT doc_id, {_CHART_SQL} AS x FROM documents)")
+def chart_cues(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.chart_cues(F.expr(_CHART)), ",").alias("cues"))
+
+
+_TITLE = "lower(regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1))"
+
+
+def _titled(spark, sf_dir):
+    """Items of benchmark titled by their first two words, and documents without a title."""
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("node_id"), F.expr(_TITLE).alias("label"), F.col("text").alias("content"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("node_id"), F.lit("").alias("label"), F.col("text").alias("content"))
+    return b.union(d)
+
+
+_TITLED_SQL = f"nodes AS (SELECT 'b' || item_id AS node_id, {_TITLE} AS label, text AS content FROM benchmark UNION ALL SELECT 'd' || doc_id, '', text FROM documents)"
+
+
+@query(
+    "title_links",
+    rf"""WITH {_TITLED_SQL}, t AS (SELECT node_id AS dst, label AS x FROM nodes WHERE label <> '')
+SELECT DISTINCT node_id AS src, dst FROM nodes JOIN t ON node_id <> dst AND contains(lower(content), x) AND regexp_matches(' ' || lower(content) || ' ', '[^\pL\pN_]' || x || '[^\pL\pN_]')""",
+)
+def title_links(spark, sf_dir):
+    return links.title_links(_titled(spark, sf_dir)).select("src", "dst")
+
+
+@query(
+    "corpus_mentions",
+    rf"""WITH {_TITLED_SQL}, t AS (SELECT node_id AS dst, label AS x FROM nodes WHERE label <> '' AND length(label) >= 4)
+SELECT DISTINCT node_id AS src, dst FROM nodes JOIN t ON left(node_id, 1) = 'd' AND contains(lower(content), x) AND regexp_matches(' ' || lower(content) || ' ', '[^\pL\pN_]' || x || '[^\pL\pN_]')""",
+)
+def corpus_mentions(spark, sf_dir):
+    n = _titled(spark, sf_dir)
+    n = n.select("node_id", "label", "content", F.when(F.col("label") == "", "claim").otherwise("section").alias("type"), F.substring("node_id", 1, 1).alias("source"))
+    return links.corpus_mentions(n)[0].select("src", "dst")
+
+
+@query(
+    "file_reference_links",
+    """SELECT 'n' || n_nationkey AS src, 'a/r' || n_regionkey || '.md' AS rel FROM nation""",
+)
+def file_reference_links(spark, sf_dir):
+    text = "concat('see [x](../a/r', n_regionkey, '.md#top \"t\") and ![y](https://h/z.png) <a href=\"/abs.md\">q</a> [[missing.md|m]] [up](../../out.md)')"
+    n = table(spark, sf_dir, "nation")
+    nodes = n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("node_id"), F.lit("section").alias("type"), F.concat(F.lit("b/n"), F.col("n_nationkey"), F.lit(".md")).alias("source"), F.expr(text).alias("content"))
+    files = nodes.select(F.col("source").alias("rel")).union(table(spark, sf_dir, "region").select(F.concat(F.lit("a/r"), F.col("r_regionkey"), F.lit(".md"))))
+    e, _ = links.file_reference_links(nodes, files, [".md", ".png"])
+    return e.join(files.select("rel", T.corpus_id("file", F.col("rel")).alias("dst")), "dst").select("src", "rel")
+
+
+@query(
+    "merge_first_wins",
+    """SELECT node_id, label FROM (SELECT node_id, label, row_number() OVER (PARTITION BY node_id ORDER BY k, doc_id) AS r FROM (
+SELECT 0 AS k, doc_id, source AS node_id, lang AS label FROM documents UNION ALL SELECT 1, page_id, 'src' || page_id % 40, 'page' || page_id FROM pages)) WHERE r = 1""",
+)
+def merge_first_wins(spark, sf_dir):
+    def graph(df, key, label, at):
+        none = F.lit(None).cast("string")
+        n = df.select(F.lit("g").alias("graph_id"), key.alias("node_id"), label.alias("label"), none.alias("content"), none.alias("type"), none.alias("source"), F.create_map().cast("map<string,string>").alias("attr_str"), none.alias("attrs_json"), F.array(at.cast("long")).alias("pos"))
+        return graph_frames.Graph(n, spark.createDataFrame([], graph_frames.EDGES))
+
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    a = graph(d, F.col("source"), F.col("lang"), F.col("doc_id"))
+    b = graph(p, F.concat(F.lit("src"), F.col("page_id") % 40), F.concat(F.lit("page"), F.col("page_id")), F.col("page_id"))
+    return graph_frames.merge_graphs([a, b]).nodes.select("node_id", "label")
+
+
+_QUERY = "the ranking of sections in and with"
+
+
+def _stems_sql(x: str) -> str:
+    return f"list_distinct(list_transform(list_filter(string_split_regex(lower({x}), '[^\\pL\\pN]+'), lambda token: token <> ''), lambda token: {_STEM_SQL}))"
+
+
+@query(
+    "soft_match",
+    f"""WITH q AS (SELECT {_stems_sql(f"'{_QUERY}'")} AS q), s AS (SELECT doc_id, {_stems_sql('source')} AS l, {_stems_sql('text')} AS c, {_stems_sql('lang')} AS a FROM documents)
+SELECT doc_id, round(2 * len(list_intersect(l, q)) + len(list_intersect(c, q)) / greatest(1, sqrt(len(c) / 50.0)) + len(list_intersect(a, q)), 6) AS score FROM s, q""",
+)
+def soft_match(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label"), F.col("text").alias("content"), F.create_map(F.lit("lang"), F.col("lang")).alias("attr_str"))
+    return rank.soft_match(d, _QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _trade(spark, sf_dir):
+    """Regions, nations and suppliers as one graph; suppliers point at nations, nations at regions and back."""
+    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    node = lambda p, k, label, at: (F.concat(F.lit(p), F.col(k)).alias("node_id"), F.col(label).alias("label"), F.array((F.col(k) + at).cast("long")).alias("pos"))
+    nodes = r.select(*node("r", "r_regionkey", "r_name", 0)).union(n.select(*node("n", "n_nationkey", "n_name", 100))).union(s.select(*node("s", "s_suppkey", "s_name", 1000)))
+    edge = lambda a, ak, b, bk, how: (F.concat(F.lit(a), F.col(ak)).alias("src"), F.concat(F.lit(b), F.col(bk)).alias("dst"), F.lit(how).alias("label"))
+    edges = s.select(*edge("s", "s_suppkey", "n", "s_nationkey", "in")).union(n.select(*edge("n", "n_nationkey", "r", "n_regionkey", "in"))).union(n.where("n_nationkey % 2 = 0").select(*edge("n", "n_nationkey", "r", "n_regionkey", "of"))).union(n.where("n_nationkey % 3 = 0").select(*edge("r", "n_regionkey", "n", "n_nationkey", "has")))
+    g = F.lit("g").alias("graph_id")
+    return nodes.select(g, "node_id", "label", F.lit(None).cast("string").alias("content"), "pos"), edges.select(g, "src", "dst", "label")
+
+
+_TRADE_SQL = """nodes AS (SELECT 'r' || r_regionkey AS node_id, r_name AS label, r_regionkey AS pos FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, n_nationkey + 100 FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, s_suppkey + 1000 FROM supplier),
+edges AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 'in' AS label FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'in' FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'of' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'has' FROM nation WHERE n_nationkey % 3 = 0)"""
+_SEED = "region nation asia europe france germany"
+
+
+def _ranks(spark, sf_dir):
+    nodes, edges = _trade(spark, sf_dir)
+    return nodes, edges, rank.personalized_page_rank(_SEED, nodes, edges, tol=0.0, max_iter=20)
+
+
+_PPR_SQL = f"""WITH RECURSIVE {_TRADE_SQL}, q AS (SELECT {_stems_sql(f"'{_SEED}'")} AS q),
+seed AS (SELECT node_id, 2 * len(list_intersect({_stems_sql('label')}, q)) AS s FROM nodes, q),
+p AS (SELECT node_id, s / sum(s) OVER () AS p FROM seed),
+deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src), w AS (SELECT DISTINCT e.src, e.dst, 1.0 / d AS w FROM edges e JOIN deg USING (src)),
+n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT node_id, dst, w FROM nodes JOIN w ON node_id = src UNION ALL SELECT a.node_id, b.node_id, 1.0 / n FROM nodes a, nodes b, n WHERE a.node_id NOT IN (SELECT src FROM edges)),
+it AS (SELECT 0 AS k, node_id, CAST(1.0 / n AS DOUBLE) AS r FROM nodes, n UNION ALL
+  SELECT k + 1, m.dst, CAST(0.15 * any_value(p.p) + 0.85 * sum(it.r * m.w) AS DOUBLE) FROM it JOIN m ON it.node_id = m.node_id JOIN p ON p.node_id = m.dst WHERE k < 20 GROUP BY k, m.dst),
+ranks AS (SELECT node_id, r AS rank FROM it WHERE k = 20)"""
+
+
+@query("ppr_scores", _PPR_SQL + " SELECT node_id, round(rank, 7) AS rank FROM ranks")
+def ppr_scores(spark, sf_dir):
+    return _ranks(spark, sf_dir)[2].select("node_id", F.round("rank", 7).alias("rank"))
+
+
+_TOP_SQL = _PPR_SQL + ", top AS (SELECT node_id, rank FROM ranks JOIN nodes USING (node_id) ORDER BY round(rank, 10) DESC, pos LIMIT 5)"
+
+
+@query("ppr_topk", _TOP_SQL + " SELECT node_id, round(rank, 7) AS rank FROM top")
+def ppr_topk(spark, sf_dir):
+    nodes, _, r = _ranks(spark, sf_dir)
+    return rank.top_k(r.withColumn("rank", F.round("rank", 10)), nodes).select("node_id", F.round("rank", 7).alias("rank"))
+
+
+_NEAR_SQL = _TOP_SQL + ", near AS (SELECT node_id FROM top UNION SELECT dst FROM edges JOIN top ON src = node_id UNION SELECT src FROM edges JOIN top ON dst = node_id)"
+
+
+@query("ppr_context_nodes", _NEAR_SQL + " SELECT node_id, round(rank, 7) AS score FROM near LEFT JOIN top USING (node_id)")
+def ppr_context_nodes(spark, sf_dir):
+    nodes, edges, r = _ranks(spark, sf_dir)
+    kept, _ = rank.context(rank.top_k(r.withColumn("rank", F.round("rank", 10)), nodes), nodes, edges)
+    return kept.select("node_id", F.round("score", 7).alias("score"))
+
+
+@query("ppr_context_edges", _NEAR_SQL + " SELECT src, dst, label FROM edges WHERE src IN (SELECT node_id FROM near) AND dst IN (SELECT node_id FROM near)")
+def ppr_context_edges(spark, sf_dir):
+    nodes, edges, r = _ranks(spark, sf_dir)
+    _, inner = rank.context(rank.top_k(r.withColumn("rank", F.round("rank", 10)), nodes), nodes, edges)
+    return inner.select("src", "dst", "label")
+
+
+def _sales(spark, sf_dir):
+    """Customers and orders; every order points at its customer and at a customer that may not exist."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    n = c.select(F.lit("g").alias("graph_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("node_id"), F.col("c_mktsegment").alias("type"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("source"))
+    n = n.union(o.select(F.lit("g"), F.concat(F.lit("o"), F.col("o_orderkey")), F.lit("order"), F.lit("orders")))
+    e = o.select(F.lit("g").alias("graph_id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 0, 10**9).otherwise(0)).alias("dst"), F.col("o_orderpriority").alias("label"))
+    return graph_frames.Graph(n, e)
+
+
+_SALES_SQL = """nodes AS (SELECT 'c' || c_custkey AS node_id, c_mktsegment AS type, 'n' || c_nationkey AS source FROM customer UNION ALL SELECT 'o' || o_orderkey, 'order', 'orders' FROM orders),
+edges AS (SELECT 'o' || o_orderkey AS src, 'c' || (o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1000000000 ELSE 0 END) AS dst, o_orderpriority AS label FROM orders)"""
+_DANGLING_SQL = "(SELECT * FROM edges WHERE src NOT IN (SELECT node_id FROM nodes) OR dst NOT IN (SELECT node_id FROM nodes))"
+_ALONE_SQL = "(SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges))"
+
+
+@query(
+    "graph_summary",
+    f"""WITH {_SALES_SQL} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM {_DANGLING_SQL}) AS dangling_edges, (SELECT count(*) FROM {_ALONE_SQL}) AS isolated_nodes,
+(SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM nodes GROUP BY type)) AS types, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM edges GROUP BY label)) AS labels,
+(SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM nodes GROUP BY source ORDER BY n DESC, source LIMIT 8)) AS sources""",
+)
+def graph_summary(spark, sf_dir):
+    h = graph_frames.health(_sales(spark, sf_dir))
+    flat = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["name"], F.lit("="), e["n"])), ",").alias(c)
+    return h.select("node_count", "edge_count", "dangling_edges", "isolated_nodes", flat("types"), flat("labels"), flat("sources"))
+
+
+@query("dangling_edges", f"WITH {_SALES_SQL} SELECT src, dst, label FROM {_DANGLING_SQL}")
+def dangling_edges(spark, sf_dir):
+    return graph_frames.dangling_edges(_sales(spark, sf_dir)).select("src", "dst", "label")
+
+
+@query("isolated_nodes", f"WITH {_SALES_SQL} SELECT node_id FROM {_ALONE_SQL}")
+def isolated_nodes(spark, sf_dir):
+    return graph_frames.isolated_nodes(_sales(spark, sf_dir)).select("node_id")
+
+
+@query(
+    "snapshot_delta",
+    """WITH c AS (SELECT o_orderpriority AS target, strftime(o_orderdate, '%Y-%m') AS snapshot, count(DISTINCT o_custkey) AS node_count, count(*) AS edge_count FROM orders GROUP BY 1, 2)
+SELECT target, snapshot, lag(snapshot) OVER w AS previous, node_count - lag(node_count) OVER w AS node_delta, edge_count - lag(edge_count) OVER w AS edge_delta FROM c WINDOW w AS (PARTITION BY target ORDER BY snapshot)""",
+)
+def snapshot_delta(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    c = o.groupBy(F.col("o_orderpriority").alias("target"), F.date_format("o_orderdate", "yyyy-MM").alias("snapshot")).agg(F.count_distinct("o_custkey").alias("node_count"), F.count(F.lit(1)).alias("edge_count"))
+    return graph_frames.snapshot_delta(c).select("target", "snapshot", "previous", "node_delta", "edge_delta")
+
+
+@query(
+    "recall_at_k",
+    """WITH f AS (SELECT o_custkey AS qid, o_orderpriority AS label FROM orders), g AS (SELECT DISTINCT c_custkey AS qid, unnest(['1-URGENT', '5-LOW']) AS label FROM customer),
+r AS (SELECT g.qid, count(h.label) / count(*) AS r FROM g LEFT JOIN (SELECT DISTINCT * FROM f) h ON g.qid = h.qid AND g.label = h.label GROUP BY 1)
+SELECT count(*) AS questions, round(avg(r), 4) AS mean_recall, round(avg(CAST(r = 1 AS INT)), 4) AS perfect, round(avg(CAST(r > 0 AND r < 1 AS INT)), 4) AS partial, round(avg(CAST(r = 0 AS INT)), 4) AS zero FROM r""",
+)
+def recall_at_k(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderpriority").alias("label"))
+    gold = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("label"))
+    return rank.recall(found, gold)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents titled by their first words, linked by titles, ranked against a query: the best and their context."""
+    d = table(spark, sf_dir, "documents")
+    nodes = d.select(
+        F.lit("documents").alias("graph_id"), F.col("doc_id").cast("string").alias("node_id"), F.expr(_TITLE).alias("label"),
+        F.col("text").alias("content"), F.array("doc_id").alias("pos"),
+    )
+    edges = links.title_links(nodes).withColumn("graph_id", F.lit("documents"))
+    ranks = rank.personalized_page_rank(_QUERY, nodes, edges)
+    kept, _ = rank.context(rank.top_k(ranks, nodes), nodes, edges)
+    return kept.select("node_id", "label", F.round("score", 6).alias("score"))
+
+
+QUERIES["flagship_rank"] = flagship
+_ = Window
