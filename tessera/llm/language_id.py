@@ -16,6 +16,9 @@ PROFILE = 300
 #: What a text without a letter, or one that no language can be learned for, gets.
 UNKNOWN = "und"
 
+#: Bytes of text counted at once: some 150 bytes of memory for each.
+SLICE = 2 << 20
+
 _FOLD: list[np.ndarray] = []
 
 
@@ -89,13 +92,13 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
             held.clear()
 
-        for part in slices(batches, most=8 << 20):
+        for part in slices(batches, most=SLICE):
             langs, texts = part.column("lang").to_pylist(), filled(part.column("text")).to_pylist()
             for lang in sorted(set(langs)):
                 grams, n = np.unique(ngrams([t for t, x in zip(texts, langs) if x == lang])[0], return_counts=True)
                 held.setdefault(lang, []).append((grams, n))
                 pending += len(grams)
-            if pending > 3_000_000:
+            if pending > 1_000_000:
                 yield from flush()
                 pending = 0
         yield from flush()
@@ -150,4 +153,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
                 lang[k], score[k] = known.judge(grams, counts)
         return [pa.array(lang, pa.string()), pa.array(score)]
 
-    return beside(docs, text_col, [("lang_pred", "string"), ("score", "double")], judge)
+    return beside(docs, text_col, [("lang_pred", "string"), ("score", "double")], judge, most=SLICE)
