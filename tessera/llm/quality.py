@@ -111,30 +111,31 @@ class Ordinal:
         return _sigmoid(z[:, None] - self.thresholds[None, :])
 
 
-def learn(rated: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most: int = MOST_LABELLED) -> Ordinal:
-    """Fits on at most ``most`` rated rows (those with the smallest hash of their id; ties by id and text), whose
-    features, not texts, come to the driver. Rows with null grade or text, or a grade outside 0 ... grades - 1,
-    are left out; without any, every weight is 0."""
+def learn(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most: int = MOST_LABELLED) -> Ordinal:
+    """Fits on at most ``most`` ratings (id, grade): those with the smallest hash of their id, ties by id and grade.
+    They are chosen before they meet the documents and broadcast, being bounded, so no text is shuffled; only
+    features come to the driver. Ratings with null grade or one outside 0 ... grades - 1, and documents with null
+    text, are left out; without any, every weight is 0."""
 
     def make(batches):
         for part in slices(batches, most=8 << 20):
             bucket, value, starts = features(filled(part.column("text")))
             at = pa.array(starts.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column("grade"), pa.ListArray.from_arrays(at, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))],
-                names=["grade", "bucket", "value"],
+                [part.column("i").cast(pa.string()), part.column("grade"), pa.ListArray.from_arrays(at, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))],
+                names=["i", "grade", "bucket", "value"],
             )
 
-    own = rated.where(F.col(text_col).isNotNull() & F.col(grade_col).between(0, grades - 1))
-    own = own.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade"))
-    some = own.orderBy("h", "i", "text").limit(most).select("grade", "text")
-    got = some.repartition(8).mapInArrow(make, "grade int, bucket array<int>, value array<float>").toArrow()
+    own = ratings.where(F.col(grade_col).between(0, grades - 1)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("i"), F.col(grade_col).cast("int").alias("grade"))
+    some = own.orderBy("h", "i", "grade").limit(most).select("i", "grade")
+    met = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(some), "i")
+    # the rows' order decides the steps of the fit
+    got = met.select("i", "grade", "text").mapInArrow(make, "i string, grade int, bucket array<int>, value array<float>").toArrow().sort_by("i")
     grade = got.column("grade").combine_chunks().to_numpy().astype(np.int64)
-    order = np.arange(len(grade))
     lists = [got.column(c).combine_chunks() for c in ("bucket", "value")]
     starts = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]) if len(grade) else np.zeros(1, np.int64)
     bucket, value = (x.flatten().to_numpy() for x in lists)
-    return Ordinal.fit(bucket, value, starts.astype(np.int64), grade[order], grades)
+    return Ordinal.fit(bucket, value, starts.astype(np.int64), grade, grades)
 
 
 def rate(docs: DataFrame, model: Ordinal, keep_tail: int | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:

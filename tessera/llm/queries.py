@@ -138,16 +138,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "item_id", "overlap")
 
 
-def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with a grade: 0 toxic, 1 of low quality, 2 good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of labelled documents: 0 toxic, 1 of low quality, 2 good."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
         "doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade")
     )
-    return _documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
 
 
 @query("op6_ordinal_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = learn(rated_documents(spark, sf_dir), grades=3)
-    out = rate(_documents(spark, sf_dir).select("doc_id", "text"), model)
+    docs = _documents(spark, sf_dir)
+    model = learn(docs, ratings(spark, sf_dir), grades=3)
+    out = rate(docs.select("doc_id", "text"), model)
     return out.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"), "keep")

@@ -266,7 +266,8 @@ def test_ordinal_regression(spark, odd_docs):
         words = list(r.choice(neutral, 40)) + list(r.choice([["vile", "nasty"], ["meh##", "dull##"], ["fine", "good"]][g], 4))
         rows.append((i, " ".join(words), g))
     rated = spark.createDataFrame(rows, "doc_id long, text string, grade int")
-    model = quality.learn(rated.where("doc_id < 600"), 3)
+    docs, grades = rated.select("doc_id", "text"), rated.select("doc_id", "grade")
+    model = quality.learn(docs, grades.where("doc_id < 600"), 3)
     assert model.thresholds[0] < model.thresholds[1]
     got = quality.rate(rated.where("doc_id >= 600"), model).collect()
     assert np.mean([round(x.expected_grade) == x.grade for x in got]) > 0.95
@@ -274,7 +275,7 @@ def test_ordinal_regression(spark, odd_docs):
     odd = quality.rate(odd_docs, model)
     assert odd.count() == odd_docs.count() and odd.where("NOT expected_grade BETWEEN 0 AND 2").count() == 0
     assert quality.rate(odd_docs.where("false"), model).count() == 0
-    assert quality.learn(rated.where("false"), 3).weights.any() == np.False_
+    assert quality.learn(docs, grades.where("false"), 3).weights.any() == np.False_
 
 
 def test_features_have_one_length():
