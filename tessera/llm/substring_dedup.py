@@ -77,10 +77,14 @@ def _batch(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[k for k, _ in _FIELDS])
 
 
+#: Bytes of text in a slice; repeats within it don't travel.
+SLICE = 8 << 20
+
+
 def _split(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each slice: what repeats within it (kind 0: words from_word to to_word of a document are covered), and
     the super-k-mers of windows that are first within it, packed by bucket (kind 1)."""
-    for part in slices(batches):
+    for part in slices(batches, most=SLICE):
         # the slice in the order in which "earlier" is meant
         part = part.take(pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("text_key", "ascending")]))
         docs, keys = part.column("doc_id").to_numpy(), part.column("text_key").to_numpy()
@@ -170,7 +174,7 @@ def _count(table: pa.Table, length: int) -> pa.Table:
 def repeated_spans(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Spans of words (doc_id, text_key, from_word, to_word) covered by windows that also start earlier.
 
-    A first pass drops windows that repeat within a slice of some 24 MB of text, so a passage that a third of
+    A first pass drops windows that repeat within a slice of 8 MB of text, so a passage that a third of
     all documents hold leaves each slice once; the rest goes to buckets by the hash of the window's minimiser.
     A bucket holds about 1 / buckets of the distinct text, packed with zstd; by default there are 16 for each
     shuffle partition.
