@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; only where the session has none, a temporary folder is set."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; only where it has none, a temporary folder is set."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir") or (now.get() if now.isDefined() else None)
+    if not found:
         import tempfile
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        found = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

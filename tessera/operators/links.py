@@ -19,6 +19,14 @@ def _word_runs(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda t: t != "")
 
 
+def _word_grams(n: int) -> Column:
+    """All runs of n words of the column _runs, joined by spaces."""
+    if n == 1:
+        return F.col("_runs")
+    starts = F.when(F.size("_runs") >= n, F.sequence(F.lit(1), F.size("_runs") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(F.col("_runs"), i, F.lit(n)), " "))
+
+
 def mentions(sources: DataFrame, targets: DataFrame, extra: Column | None = None) -> DataFrame:
     """Pairs (src columns, tgt columns) where the content holds the literal as a whole word, in any case.
 
@@ -27,7 +35,6 @@ def mentions(sources: DataFrame, targets: DataFrame, extra: Column | None = None
     words that literals have; they are verified on the text. Literals without a word character are sought in
     all contents, as a block of their own.
     """
-    spark = sources.sparkSession
     t = targets.withColumn("_words", _word_runs(F.col("literal")))
     sizes = [r[0] for r in t.select(F.size("_words").alias("n")).distinct().orderBy("n").collect()]
     match = T.whole_word(F.col("content"), F.col("literal"))
@@ -37,19 +44,7 @@ def mentions(sources: DataFrame, targets: DataFrame, extra: Column | None = None
     longs = [n for n in sizes if n]
     out = None
     if longs:
-        grams = F.flatten(
-            F.array(
-                *(
-                    F.transform(
-                        F.sequence(F.lit(0), F.greatest(F.size("_runs") - n, F.lit(-1)), F.lit(1)) if n == 1 else F.when(F.size("_runs") >= n, F.sequence(F.lit(0), F.size("_runs") - n)).otherwise(F.array().cast("array<int>")),
-                        lambda i, n=n: F.array_join(F.slice(F.col("_runs"), i + 1, F.lit(n)), " "),
-                    )
-                    if n > 1
-                    else F.col("_runs")
-                    for n in longs
-                )
-            )
-        )
+        grams = F.flatten(F.array(*map(_word_grams, longs)))
         left = s.withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_runs")
         right = t.where(F.size("_words") > 0).withColumn("_gram", F.array_join("_words", " ")).drop("_words")
         out = left.join(right, "_gram").where(match).drop("_gram")

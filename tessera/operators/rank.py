@@ -113,7 +113,8 @@ def top_k(ranks: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     from .links import top_per
 
     order = nodes.groupBy("graph_id", "node_id").agg(F.min("pos").alias("pos"))
-    return top_per(ranks.join(order, ["graph_id", "node_id"]), "graph_id", [F.desc("rank"), "pos"], k)
+    # k rows per graph, read several times by what follows
+    return cut_lineage(top_per(ranks.join(order, ["graph_id", "node_id"]), "graph_id", [F.desc("rank"), "pos"], k))
 
 
 def context(top: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +124,7 @@ def context(top: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFra
     t = top.select("graph_id", "node_id", F.col("rank").alias("score"))
     out = edges.join(t.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("node_id"))
     back = edges.join(t.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_semi").select("graph_id", F.col("src").alias("node_id"))
-    near = t.select("graph_id", "node_id").union(out).union(back).distinct()
+    near = cut_lineage(t.select("graph_id", "node_id").union(out).union(back).distinct())
     kept = nodes.join(near, ["graph_id", "node_id"], "left_semi").join(t, ["graph_id", "node_id"], "left")
     ids = kept.select("graph_id", "node_id").distinct()
     inner = edges.join(ids.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi").join(ids.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import decision, graph_frames, knowledge, links, outline, rank, schema_docs, tables
+from ..sources import loaders, scan
+from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -348,7 +350,7 @@ _TITLED_SQL = f"nodes AS (SELECT 'b' || item_id AS node_id, {_TITLE} AS label, t
 @query(
     "title_links",
     rf"""WITH {_TITLED_SQL}, t AS (SELECT node_id AS dst, label AS x FROM nodes WHERE label <> '')
-SELECT DISTINCT node_id AS src, dst FROM nodes JOIN t ON node_id <> dst AND contains(lower(content), x) AND regexp_matches(' ' || lower(content) || ' ', '[^\pL\pN_]' || x || '[^\pL\pN_]')""",
+SELECT DISTINCT node_id AS src, dst FROM nodes JOIN t ON node_id <> dst AND CASE WHEN contains(lower(content), x) THEN regexp_matches(' ' || lower(content) || ' ', '[^\pL\pN_]' || x || '[^\pL\pN_]') ELSE false END""",
 )
 def title_links(spark, sf_dir):
     return links.title_links(_titled(spark, sf_dir)).select("src", "dst")
@@ -357,7 +359,7 @@ def title_links(spark, sf_dir):
 @query(
     "corpus_mentions",
     rf"""WITH {_TITLED_SQL}, t AS (SELECT node_id AS dst, label AS x FROM nodes WHERE label <> '' AND length(label) >= 4)
-SELECT DISTINCT node_id AS src, dst FROM nodes JOIN t ON left(node_id, 1) = 'd' AND contains(lower(content), x) AND regexp_matches(' ' || lower(content) || ' ', '[^\pL\pN_]' || x || '[^\pL\pN_]')""",
+SELECT DISTINCT node_id AS src, dst FROM nodes JOIN t ON left(node_id, 1) = 'd' AND CASE WHEN contains(lower(content), x) THEN regexp_matches(' ' || lower(content) || ' ', '[^\pL\pN_]' || x || '[^\pL\pN_]') ELSE false END""",
 )
 def corpus_mentions(spark, sf_dir):
     n = _titled(spark, sf_dir)
@@ -437,10 +439,10 @@ _PPR_SQL = f"""WITH RECURSIVE {_TRADE_SQL}, q AS (SELECT {_stems_sql(f"'{_SEED}'
 seed AS (SELECT node_id, 2 * len(list_intersect({_stems_sql('label')}, q)) AS s FROM nodes, q),
 p AS (SELECT node_id, s / sum(s) OVER () AS p FROM seed),
 deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src), w AS (SELECT DISTINCT e.src, e.dst, 1.0 / d AS w FROM edges e JOIN deg USING (src)),
-n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT node_id, dst, w FROM nodes JOIN w ON node_id = src UNION ALL SELECT a.node_id, b.node_id, 1.0 / n FROM nodes a, nodes b, n WHERE a.node_id NOT IN (SELECT src FROM edges)),
+n AS (SELECT count(*) AS n FROM nodes), m AS MATERIALIZED (SELECT node_id, dst, w FROM nodes JOIN w ON node_id = src UNION ALL SELECT a.node_id, b.node_id, 1.0 / n FROM nodes a, nodes b, n WHERE a.node_id NOT IN (SELECT src FROM edges) UNION ALL SELECT node_id, node_id, 0.0 FROM nodes),
 it AS (SELECT 0 AS k, node_id, CAST(1.0 / n AS DOUBLE) AS r FROM nodes, n UNION ALL
   SELECT k + 1, m.dst, CAST(0.15 * any_value(p.p) + 0.85 * sum(it.r * m.w) AS DOUBLE) FROM it JOIN m ON it.node_id = m.node_id JOIN p ON p.node_id = m.dst WHERE k < 20 GROUP BY k, m.dst),
-ranks AS (SELECT node_id, r AS rank FROM it WHERE k = 20)"""
+ranks AS MATERIALIZED (SELECT node_id, r AS rank FROM it WHERE k = 20)"""
 
 
 @query("ppr_scores", _PPR_SQL + " SELECT node_id, round(rank, 7) AS rank FROM ranks")
@@ -448,7 +450,7 @@ def ppr_scores(spark, sf_dir):
     return _ranks(spark, sf_dir)[2].select("node_id", F.round("rank", 7).alias("rank"))
 
 
-_TOP_SQL = _PPR_SQL + ", top AS (SELECT node_id, rank FROM ranks JOIN nodes USING (node_id) ORDER BY round(rank, 10) DESC, pos LIMIT 5)"
+_TOP_SQL = _PPR_SQL + ", top AS MATERIALIZED (SELECT node_id, rank FROM ranks JOIN nodes USING (node_id) ORDER BY round(rank, 10) DESC, pos LIMIT 5)"
 
 
 @query("ppr_topk", _TOP_SQL + " SELECT node_id, round(rank, 7) AS rank FROM top")
@@ -457,7 +459,7 @@ def ppr_topk(spark, sf_dir):
     return rank.top_k(r.withColumn("rank", F.round("rank", 10)), nodes).select("node_id", F.round("rank", 7).alias("rank"))
 
 
-_NEAR_SQL = _TOP_SQL + ", near AS (SELECT node_id FROM top UNION SELECT dst FROM edges JOIN top ON src = node_id UNION SELECT src FROM edges JOIN top ON dst = node_id)"
+_NEAR_SQL = _TOP_SQL + ", near AS MATERIALIZED (SELECT node_id FROM top UNION SELECT dst FROM edges JOIN top ON src = node_id UNION SELECT src FROM edges JOIN top ON dst = node_id)"
 
 
 @query("ppr_context_nodes", _NEAR_SQL + " SELECT node_id, round(rank, 7) AS score FROM near LEFT JOIN top USING (node_id)")
@@ -534,6 +536,108 @@ def recall_at_k(spark, sf_dir):
     return rank.recall(found, gold)
 
 
+# sources, scan and streaming
+
+
+@query("load_csv_text", """SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || ', n_name: ' || n_name || ', n_regionkey: ' || n_regionkey AS row_text FROM nation""")
+def load_csv_text(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return loaders.rendered_rows(n, ["n_nationkey", "n_name", "n_regionkey"]).select("n_nationkey", "row_text")
+
+
+@query("load_json_text", """SELECT event_id, 'record.id: ' || event_id || chr(10) || 'record.props.0: ' || (json_extract_string(props, '$.k')) AS text FROM events""")
+def load_json_text(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    js = e.select(F.concat(F.lit(""), F.col("event_id")).alias("path"), F.concat(F.lit('{"record": {"props": ['), F.get_json_object("props", "$.k"), F.lit('], "id": '), F.col("event_id"), F.lit("}}")).alias("text"), F.lit(False).alias("l"))
+    out = js.mapInArrow(loaders._each(loaders.json_text), "path string, text string, error string")
+    return out.select(F.col("path").cast("long").alias("event_id"), "text")
+
+
+@query(
+    "code_language",
+    """SELECT p_partkey, ['python', 'cpp', 'yaml', 'typescript', NULL][p_partkey % 5 + 1] AS language, CASE WHEN p_partkey % 5 < 4 THEN '# language: ' || ['python', 'cpp', 'yaml', 'typescript', NULL][p_partkey % 5 + 1] || chr(10) || chr(10) ELSE '' END || p_name AS text FROM part""",
+)
+def code_language(spark, sf_dir):
+    path = F.concat(F.lit("d.d/f"), F.element_at(F.array(*map(F.lit, (".py", ".CC", ".yml", ".tsx", ".zzz"))), (F.col("p_partkey") % 5 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", loaders.language_of(path).alias("language"), loaders.code(F.col("p_name"), path).alias("text"))
+
+
+@query("html_text")
+def html_text(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    out = p.mapInArrow(loaders._each(loaders.html_text), "path string, text string, error string")
+    return out.select(F.col("path").cast("long").alias("page_id"), "text")
+
+
+def _listing(spark, sf_dir):
+    """Documents as files: a folder by source, a suffix by language."""
+    end = F.element_at(F.create_map(*(F.lit(x) for kv in (("en", ".md"), ("fr", ".txt"), ("de", ".bin"), ("es", ".py")) for x in kv)), F.col("lang"))
+    rel = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), end)
+    return table(spark, sf_dir, "documents").select(rel.alias("rel"), F.col("n_chars").alias("size"))
+
+
+def _selection(spark, sf_dir):
+    return scan.select_files(_listing(spark, sf_dir), [".md", ".txt", ".py"], include=["*.md", "*.txt", "src1"], exclude=["src0", "*7.md"], max_files=150)
+
+
+_SCAN_SQL = """f AS (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.txt' WHEN 'de' THEN '.bin' ELSE '.py' END AS rel, n_chars AS size, source, lang, doc_id FROM documents),
+r AS (SELECT rel, size, regexp_extract(rel, '\\.[a-z]+$') AS suffix, row_number() OVER (ORDER BY source, rel) AS seq, CASE WHEN source = 'src0' OR rel LIKE '%7.md' THEN 'exclude_filter_match' WHEN lang = 'de' THEN 'unsupported_extension' WHEN NOT (lang IN ('en', 'fr') OR source = 'src1') THEN 'include_filter_mismatch' END AS reason FROM f),
+scan AS (SELECT rel, size, suffix, seq, CASE WHEN reason IS NULL AND count(*) FILTER (WHERE reason IS NULL) OVER (ORDER BY seq) > 150 THEN 'max_files_exceeded' ELSE reason END AS reason FROM r)"""
+
+
+@query("scan_selection", f"WITH {_SCAN_SQL} SELECT rel, seq, reason FROM scan")
+def scan_selection(spark, sf_dir):
+    return _selection(spark, sf_dir).select("rel", "seq", "reason")
+
+
+@query("skip_histogram", f"WITH {_SCAN_SQL} SELECT reason, suffix, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM scan WHERE reason IS NOT NULL GROUP BY 1, 2")
+def skip_histogram(spark, sf_dir):
+    return scan.skip_histogram(_selection(spark, sf_dir))
+
+
+@query("manifest_digest", f"WITH {_SCAN_SQL} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, sha256(string_agg(rel || chr(0), '' ORDER BY seq)) AS digest FROM scan WHERE reason IS NULL")
+def manifest_digest(spark, sf_dir):
+    return scan.manifest_digest(_selection(spark, sf_dir).where("reason IS NULL"))
+
+
+@query(
+    "byte_budget",
+    """WITH f AS (SELECT source, doc_id AS seq, n_chars AS size FROM documents), c AS (SELECT *, sum(CASE WHEN size > 5000 THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY seq) AS total FROM f),
+b AS (SELECT *, size <= 5000 AND total > 20000 AS breach FROM c), e AS (SELECT *, coalesce(bool_or(breach) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM b)
+SELECT source, seq, CASE WHEN before THEN 'max_total_bytes_exceeded' WHEN size > 5000 THEN 'file_too_large' WHEN breach THEN 'max_total_bytes_exceeded' END AS reason FROM e""",
+)
+def byte_budget(spark, sf_dir):
+    f = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("seq"), F.col("n_chars").alias("size"))
+    return scan.byte_budget(f, 5000, 20_000, by=["source"]).select("source", "seq", "reason")
+
+
+@query(
+    "cache_hits",
+    """SELECT doc_id AS rel, CASE WHEN doc_id % 10 = 0 THEN 'stale' WHEN doc_id % 10 = 1 THEN 'miss' WHEN doc_id % 10 = 2 THEN 'updated' ELSE 'hit' END AS status FROM documents""",
+)
+def cache_hits(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel"), F.sha2("text", 256).alias("digest"), F.col("n_chars").alias("size"))
+    was = d.where("rel % 10 <> 1").withColumn("digest", F.when(F.col("rel") % 10 == 2, "old").otherwise(F.col("digest")))
+    return scan.cache_status(d.where("rel % 10 <> 0"), was.select("rel", "digest", "size"), ["digest", "size"]).select("rel", "status")
+
+
+@query("streaming_incremental", """SELECT doc_id, length(text) AS n FROM documents""")
+def streaming_incremental(spark, sf_dir):
+    """Reads documents as a stream in two runs; the second finds nothing new."""
+    import uuid
+
+    from ..operators.lineage import shared_folder
+
+    base = f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k in range(2):
+        s = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")
+        s = s.select(F.col("doc_id").cast("string").alias("source"), "text")
+        run = incremental.extract_new(s, lambda d: d.select(F.col("source").cast("long").alias("doc_id"), F.char_length("text").alias("n")), f"{base}/out", f"{base}/seen", f"{base}/check{k}")
+        run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents titled by their first words, linked by titles, ranked against a query: the best and their context."""
     d = table(spark, sf_dir, "documents")
@@ -548,4 +652,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship_rank"] = flagship
-_ = Window
