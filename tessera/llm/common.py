@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -56,6 +58,13 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers live for many tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Splits batches so that none holds more than ``most`` bytes of text, but for a single longer row."""
     for batch in batches:
@@ -66,6 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 12
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+        _release()
 
 
 def filled(column: pa.Array) -> pa.Array:

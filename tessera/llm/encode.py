@@ -10,7 +10,7 @@ import pyarrow as pa
 from .common import filled, ragged, word_array
 
 #: Distinct pieces that a worker keeps between batches; beyond it, pieces seen in only one batch are forgotten.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 
 # A piece may begin at a space only before a character that is surely not white space, control or the lead
 # byte of a character that may be (U+0085, U+00A0, U+1680, U+2000..., U+3000).

@@ -77,7 +77,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, pieces: str, end_id: int, ca
 
         pid = TaskContext.get().partitionId()
         enc, before = encoder(tokenizer_path, pieces), np.zeros(capacity + 1, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, most=4 << 20):
             ids, at = enc.encode(part.column("text"))
             ids = ids.astype("<u4")
             names = part.column("doc_id").to_pylist()

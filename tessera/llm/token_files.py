@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pieces:
 
         fs, root = _filesystem(folder)
         enc, out, shard = encoder(tokenizer_path, pieces), None, TaskContext.get().partitionId()
-        for part in slices(batches):
+        for part in slices(batches, most=4 << 20):
             if out is None:
                 name = f"{root}/part-{shard:06d}-{uuid.uuid4().hex}.tpf"
                 stream = fs.open_output_stream(name)
