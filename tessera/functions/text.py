@@ -12,7 +12,7 @@ NUL = "\0"
 _HEAD, _MID, _END = "\ue001", "\ue002", "\ue003"
 
 #: Endings in the order in which they are tried, longest matches not first: "tion" hides "ation".
-STEM_ENDINGS = ("ing", "tion", "ations", "ation", "ies", "es", "s", "ed")
+STEM_ENDINGS = tuple("ing tion ations ation ies es s ed".split())
 
 
 def strip(c: Column) -> Column:
@@ -34,7 +34,7 @@ def label(c: Column, limit: int = 96) -> Column:
 
 
 def _slug(c: Column, limit: int) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^0-9A-Za-z]+", "_"), "^_+|_+$", "")
     return F.coalesce(F.nullif(cut(s, limit), F.lit("")), F.lit("item"))
 
 
@@ -99,7 +99,7 @@ def stems(c: Column) -> Column:
 
 def sentences(c: Column, least: int = 30) -> Column:
     """Sentences of at least ``least`` characters, white space squeezed."""
-    parts = F.transform(F.split(squeeze(c), r"(?<=[.!?])\s+"), strip)
+    parts = F.transform(F.split(squeeze(c), r"(?<=[?!.])\s+"), strip)
     return F.filter(parts, lambda s: F.char_length(s) >= least)
 
 
@@ -136,7 +136,7 @@ def sections(c: Column, before: str | None = "Preface", alone: str = "Document")
 
 
 def urls(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(?U)https?://[^\s)>\]]+"), F.lit(0)), lambda u: F.regexp_replace(u, "[.,]+$", ""))
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(?U)https?://[^\])>\s]+"), F.lit(0)), lambda u: F.regexp_replace(u, "[.,]+$", ""))
 
 
 def citations(c: Column) -> Column:
@@ -148,7 +148,7 @@ def citations(c: Column) -> Column:
 
 def phrases(c: Column) -> Column:
     """Runs of two to five words that begin with an ASCII letter, as they stand."""
-    word = r"[A-Za-z][A-Za-z0-9\-]*"
+    word = r"[a-zA-Z][-0-9a-zA-Z]*"
     return F.regexp_extract_all(c, F.lit(rf"(?U)\b{word}(?:\s+{word}){{1,4}}\b"), F.lit(0))
 
 
@@ -179,7 +179,7 @@ _COMMON = "would with which where when using through this these there their that
 
 def support_terms(c: Column) -> Column:
     """Distinct terms of at least 4 characters that say what a sentence is about."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"[A-Za-z][A-Za-z0-9\-]{3,}"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"[a-zA-Z][-0-9a-zA-Z]{3,}"), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, _COMMON)))
 
 

@@ -74,7 +74,7 @@ class DocumentGraph:
 
     from_directory = from_document
 
-    def add_node(self, node_id: str, label: str, content: str | None = None, attributes: dict | None = None) -> DocumentGraph:
+    def add_node(self, node_id: str, label: str, *, content: str | None = None, attributes: dict | None = None) -> DocumentGraph:
         if self.nodes.where(F.col("node_id") == node_id).limit(1).count():
             raise ValueError(f"duplicate node id {node_id!r}")
         new = self.from_dict(self.spark, {"nodes": [{"id": node_id, "label": label, "content": content, "attributes": attributes}]}).nodes
@@ -85,10 +85,10 @@ class DocumentGraph:
         self.edges = self.edges.unionByName(self.from_dict(self.spark, {"edges": [{"from": src, "to": dst, "label": label}]}).edges)
         return self
 
-    def rank(self, query: str, k: int = 5, alpha: float = 0.85) -> dict:
+    def rank(self, query: str, *, k: int = 5, alpha: float = 0.85) -> dict:
         """The k best nodes for the query, their neighbours and the edges among them, as plain data."""
         nodes = G.first_wins(self.nodes, ["graph_id", "node_id"])
-        top = rank.top_k(rank.personalized_page_rank(query, nodes, self.edges, alpha), nodes, k)
+        top = rank.top_k(rank.personalized_page_rank(query, nodes, self.edges, alpha=alpha), nodes, k)
         kept, inner = rank.context(top, nodes, self.edges)
         found = kept.orderBy("pos").collect()
         name = {r.node_id: r.label for r in found}
@@ -112,7 +112,7 @@ class DocumentGraph:
 
     def to_graphml(self, path: str) -> None:
         g = self.to_dict()
-        with open(path, "w", encoding="utf-8") as f:
+        with open(path, mode="w", encoding="utf8") as f:
             f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="l" for="all" attr.name="label" attr.type="string"/>\n<graph edgedefault="directed">\n')
             for n in g["nodes"]:
                 f.write(f'<node id={quoteattr(n["id"])}><data key="l">{escape(n["label"] or "")}</data></node>\n')

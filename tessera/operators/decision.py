@@ -11,7 +11,7 @@ from ..functions import text as T
 from .graph_frames import Graph, edge_row, merged, node_row, union_all
 from .outline import section_rows
 
-STATUSES = ["accepted", "proposed", "rejected", "deprecated", "superseded", "deferred"]
+STATUSES = "accepted proposed rejected deprecated superseded deferred".split()
 #: Cues of a section's role, in the order in which roles are tried.
 ROLE_CUES = {
     "problem": "challenge|issue|motivation|problem",
@@ -119,7 +119,8 @@ def option_rows(sections: DataFrame) -> DataFrame:
     line with a bar, a line of dashes for at least two columns, and the lines with bars after it."""
     lines = sections.select("graph_id", "i", F.posexplode(T.split_lines(F.col("content"))).alias("p", "line"))
     sec = Window.partitionBy("graph_id", "i")
-    dash = r"^\s*\|?\s*:?-{3,}:?\s*(?:[|]\s*:?-{3,}:?\s*)+[|]?\s*$"
+    bar = r":?-{3,}:?\s*"
+    dash = rf"^\s*[|]?\s*{bar}(?:[|]\s*{bar})+[|]?\s*$"
     lines = lines.withColumns({"bar": F.contains("line", F.lit("|")), "dash": F.rlike("line", F.lit(dash))}).where("bar")
     lines = lines.withColumn("run", F.col("p") - F.row_number().over(sec.orderBy("p")))
     run = Window.partitionBy("graph_id", "i", "run")
@@ -185,7 +186,7 @@ def events(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"body": body, "key": F.concat_ws("-", "i", "t", "r", F.coalesce(F.nullif("opt", F.lit("")), body))})
     table_id = lambda kind: T.scoped_id(kind, src, F.concat(F.lit("table-"), F.col("key")))
     rows = rows.withColumn("own", F.when(F.col("opt") != "", table_id("option")))
-    kinds = ["option", "pros", "cons", "tradeoff", "decision", "consequence", "confidence"]
+    kinds = "option pros cons tradeoff decision consequence confidence".split()
     cells = []
     for k, kind in enumerate(kinds):
         text = F.col("body") if kind == "option" else _value(F.col("row"), kind)

@@ -16,7 +16,7 @@ _NUMBERED = r"^[\[](\d+)[\]]\s+(.+)$"
 _AUTHOR = r"^(?:[*-]\s*)?(?:[\[]\d+[\]]\s*)?([A-Z][-a-zA-Z]+)(\s+et\s+al[.])?(?:,\s+[A-Z](?:[.][A-Z][.])?[.]?)?.*?\b((?:20|19)\d{2})\b"
 _NAME = r"[ +/0-9a-zA-Z-]"
 _GLOSSARY = rf"(?d)^(?:[*-]\s+)?(?:[*]{{2}})?([a-zA-Z]{_NAME}{{1,80}}?)(?:[*]{{2}})?\s*(?:--|:| - )\s+(.{{12,}})$"
-_DEFINED = rf"(?id)^(?:The|An|A)?\s*([a-z]{_NAME}{{2,80}}?)\s+(?:is|are|means|refers to|is defined as|are defined as)\s+(.{{12,}})$"
+_DEFINED = rf"(?id)^(?:The|An|A)?\s*([a-z]{_NAME}{{2,80}}?)\s+(?:is|are|refers to|means|(?:are|is) defined as)\s+(.{{12,}})$"
 
 
 def _author_keys(c: Column) -> Column:
@@ -82,7 +82,7 @@ def support(claims: DataFrame, evidence: DataFrame, most: int = 5) -> DataFrame:
     return j.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("graph_id", "src", "dst", "ci", "cp", "k")
 
 
-def knowledge_graph(docs: DataFrame, max_concepts: int = 40, max_claims: int = 30, max_definitions: int = 30, max_tables: int = 20) -> Graph:
+def knowledge_graph(docs: DataFrame, *, max_tables: int = 20, max_claims: int = 30, max_definitions: int = 30, max_concepts: int = 40) -> Graph:
     """docs (graph_id, source, text) to their knowledge graphs, one graph_id each, all in one job.
 
     Concept ids don't depend on the source, so documents of one corpus share concepts."""

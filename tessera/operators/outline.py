@@ -49,7 +49,7 @@ def section_graph(docs: DataFrame) -> Graph:
 def paragraph_graph(docs: DataFrame) -> Graph:
     """A node per paragraph, followed_by edges between neighbours."""
     p = docs.select("graph_id", "source", F.posexplode(T.paragraphs(F.coalesce("text", F.lit("")))).alias("i", "body"))
-    first = F.get(F.split("body", r"(?<=[.!?])\s+"), F.lit(0))
+    first = F.get(F.split("body", r"(?<=[?!.])\s+"), F.lit(0))
     name = F.coalesce(F.nullif(T.strip(T.cut(first, 80)), F.lit("")), F.concat(F.lit("Paragraph "), F.col("i") + 1))
     p = p.withColumns({"id": F.concat(T.word_slug(F.coalesce("source", F.lit("")), 40), F.lit("_"), F.col("i")), "name": name})
     nodes = p.select(*node_row(F.col("graph_id"), F.col("id"), F.col("name"), F.col("body"), {"index": F.col("i"), "source": F.col("source")}, [F.col("i")]))

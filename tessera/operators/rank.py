@@ -12,6 +12,8 @@ from .lineage import cut_lineage
 
 #: Graphs of at most this many nodes and edges together are iterated in one task (20 bytes each); larger ones by joins.
 LOCAL_SIZE = 2_000_000
+#: Iterations at most, share of rank that follows edges, and the change that ends the iteration.
+ROUNDS, ALPHA, TOLERANCE = 50, 0.85, 1e-6
 
 
 def soft_match(nodes: DataFrame, query: str) -> DataFrame:
@@ -52,7 +54,7 @@ def _iterate(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, p: np
     return r
 
 
-def ranks_by_graph(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 50) -> DataFrame:
+def ranks_by_graph(nodes: DataFrame, edges: DataFrame, max_iter: int = ROUNDS, alpha: float = ALPHA, tol: float = TOLERANCE) -> DataFrame:
     """Ranks of many graphs at once, each in one task: (graph_id, node_id, rank) of nodes (with score) and edges.
 
     Graphs whose scores are all zero give no rows. For graphs of up to LOCAL_SIZE nodes and edges."""
@@ -73,7 +75,7 @@ def ranks_by_graph(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol:
     return rows.groupBy("graph_id").applyInArrow(rank, "graph_id string, node_id string, rank double")
 
 
-def ranks_by_joins(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 50) -> DataFrame:
+def ranks_by_joins(nodes: DataFrame, edges: DataFrame, max_iter: int = ROUNDS, alpha: float = ALPHA, tol: float = TOLERANCE) -> DataFrame:
     """The same for one graph of any size: an iteration is one join on src and one sum by dst, with dangling mass
     and change read as one aggregate; lineage is cut every fifth time."""
     w = cut_lineage(transitions(nodes, edges).select("src", "dst", "weight"))
@@ -98,14 +100,14 @@ def ranks_by_joins(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol:
     return r.select("graph_id", "node_id", "rank")
 
 
-def personalized_page_rank(query: str, nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 50) -> DataFrame:
+def personalized_page_rank(query: str, nodes: DataFrame, edges: DataFrame, max_iter: int = ROUNDS, alpha: float = ALPHA, tol: float = TOLERANCE) -> DataFrame:
     """(graph_id, node_id, rank), in one task per graph while all graphs are small, by joins otherwise."""
     scored = soft_match(nodes, query)
     sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).union(edges.groupBy("graph_id").agg(F.count(F.lit(1)))).groupBy("graph_id").agg(F.sum("n").alias("n"))
     largest = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
     if largest[1] > 1 or (largest[0] or 0) <= LOCAL_SIZE:
-        return ranks_by_graph(scored, edges, alpha, tol, max_iter)
-    return ranks_by_joins(scored, edges, alpha, tol, max_iter)
+        return ranks_by_graph(scored, edges, max_iter, alpha, tol)
+    return ranks_by_joins(scored, edges, max_iter, alpha, tol)
 
 
 def top_k(ranks: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:

@@ -11,12 +11,12 @@ from ..functions import text as T
 from .graph_frames import Graph, edge_row, first_wins, node_row
 from .outline import section_rows
 
-_NAME = ["column", "field", "name", "col"]
-_TYPE = ["type", "datatype", "data type", "dtype"]
-_NOTE = ["notes", "note", "description", "desc", "constraints", "comment"]
+_NAME = "column|field|name|col".split("|")
+_TYPE = "type|datatype|data type|dtype".split("|")
+_NOTE = "notes|note|description|desc|constraints|comment".split("|")
 _SQL_TYPES = "|".join(sorted("INT INTEGER BIGINT SMALLINT SERIAL DECIMAL NUMERIC FLOAT DOUBLE CHAR VARCHAR TEXT BLOB UUID JSON BOOL BOOLEAN DATE DATETIME TIMESTAMP".split(), reverse=True))
 _SQL_TYPE = rf"(?iU)\b(?:{_SQL_TYPES})[\w(,)]*\b"
-_BULLET = r"^[*\-•]\s*`?(\w+)`?\s*[\s:]\s*(.+)$"
+_BULLET = r"^[•*-]\s*[`]?(\w+)[`]?\s*(?:\s|:)\s*(.+)$"
 
 
 def _find(header: Column, names: list[str]) -> Column:

@@ -128,8 +128,8 @@ _CITED_SQL = "text || ' [' || doc_id % 7 || ', ' || doc_id % 5 || '] (Smith et a
 @query(
     "citations",
     rf"""WITH t AS (SELECT doc_id, {_CITED_SQL} AS x FROM documents)
-SELECT doc_id, unnest(list_concat(flatten(list_transform(regexp_extract_all(x, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda n: list_transform(string_split(n, ','), lambda y: trim(y)))),
-  regexp_extract_all(x, '\(([A-Z][A-Za-z-]+(?:\s+et\s+al\.)?,\s*(?:19|20)\d\d)\)', 1))) AS citation FROM t""",
+SELECT doc_id, unnest(list_concat(flatten(list_transform(regexp_extract_all(x, '\[([0-9]+(?: *, *[0-9]+)*)\]', 1), lambda n: list_transform(string_split(n, ','), lambda y: trim(y)))),
+  regexp_extract_all(x, '[(]([A-Z][a-zA-Z-]+(?: +et +al[.])?, *(?:20|19)[0-9][0-9])[)]', 1))) AS citation FROM t""",
 )
 def citations(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CITED).alias("x"))
@@ -154,7 +154,7 @@ def citation_resolution(spark, sf_dir):
 
 
 @query("concepts_topn", r"""
-WITH p AS (SELECT doc_id, unnest(x) AS raw, unnest(range(0, len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z][A-Za-z0-9-]*){1,4}\b') AS x FROM documents)),
+WITH p AS (SELECT doc_id, unnest(x) AS raw, unnest(range(0, len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b[a-zA-Z][0-9a-zA-Z-]*(?:\s+[a-zA-Z][0-9a-zA-Z-]*){1,4}\b') AS x FROM documents)),
 n AS (SELECT doc_id, pos, trim(lower(regexp_replace(raw, '\s+', ' ', 'g')), ' .,:;()[]`*_') AS concept FROM p),
 c AS (SELECT doc_id, concept, count(*) AS frequency, min(pos) AS seen FROM n WHERE length(concept) >= 8 AND contains(concept, ' ')
   AND split_part(concept, ' ', 1) NOT IN ('this', 'that', 'these', 'those', 'there', 'where', 'when') AND concept NOT IN ('this paper', 'this document', 'the paper', 'the document', 'our approach', 'we propose', 'we show', 'we present') GROUP BY 1, 2)
@@ -188,7 +188,7 @@ def evidence(spark, sf_dir):
     return _cues(spark, sf_dir).where("evidence").select("doc_id", "sentence_index", "sentence")
 
 
-_TERMS_SQL = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[A-Za-z][A-Za-z0-9-]{{3,}}')), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T._COMMON) + "))"
+_TERMS_SQL = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-zA-Z][0-9a-zA-Z-]{{3,}}')), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T._COMMON) + "))"
 
 
 @query(
@@ -209,7 +209,7 @@ def support_edges(spark, sf_dir):
 @query(
     "definitions",
     r"""WITH l AS (SELECT p_partkey, unnest(['- ' || p_name || ' item: the kind ' || p_type || ' by ' || p_brand, 'Note: nothing of interest here', '**' || p_brand || ' thing** -- again ' || p_type]) AS x, unnest([0, 1, 2]) AS k FROM part),
-d AS (SELECT p_partkey, k, regexp_extract(x, '^(?:[-*]\s+)?(?:\*\*)?([A-Za-z][A-Za-z0-9 /+-]{1,80}?)(?:\*\*)?\s*(?::|--| - )\s+(.{12,})$', 1) AS term, regexp_extract(x, '^(?:[-*]\s+)?(?:\*\*)?([A-Za-z][A-Za-z0-9 /+-]{1,80}?)(?:\*\*)?\s*(?::|--| - )\s+(.{12,})$', 2) AS body FROM l)
+d AS (SELECT p_partkey, k, regexp_extract(x, '^(?:[*-] +)?(?:[*]{2})?([a-zA-Z][ /+0-9a-zA-Z-]{1,80}?)(?:[*]{2})? *(?:--|:| - ) +(.{12,})$', 1) AS term, regexp_extract(x, '^(?:[*-] +)?(?:[*]{2})?([a-zA-Z][ /+0-9a-zA-Z-]{1,80}?)(?:[*]{2})? *(?:--|:| - ) +(.{12,})$', 2) AS body FROM l)
 SELECT p_partkey, trim(term) AS term, body, lower(trim(term)) AS concept FROM d WHERE body <> '' AND lower(trim(term)) NOT IN ('note') AND length(trim(term)) >= 8 AND contains(trim(term), ' ')""",
 )
 def definitions(spark, sf_dir):

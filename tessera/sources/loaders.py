@@ -127,8 +127,8 @@ def html_text(html: str) -> str:
     p = _Html()
     p.feed(html)
     p.close()
-    text = "\n".join(x.strip() for x in re.sub(r"[ \t]+", " ", "".join(p.out)).split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    text = "\n".join(x.strip() for x in re.sub("[\t ]+", " ", "".join(p.out)).split("\n"))
+    return re.sub("\n\n\n+", "\n" * 2, text).strip()
 
 
 def _each(f, out_type=pa.string()):

@@ -47,7 +47,7 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return d.withColumn(name, F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(order))).drop("_p", "_b")
 
 
-def select_files(files: DataFrame, supported: list[str], extensions: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = None, max_depth: int | None = None) -> DataFrame:
+def select_files(files: DataFrame, supported: list[str], extensions: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, max_depth: int | None = None, max_files: int | None = None) -> DataFrame:
     """files (rel, size) with suffix, seq (place in depth-first order of names) and reason (null: selected)."""
     from .loaders import suffix_of
 

@@ -66,7 +66,7 @@ def test_knowledge_graph(spark):
 
 ADR = """# Choices
 | Option | Pros | Decision | Confidence |
-| --- | --- | --- | --- |
+|---|:---:|----|---|
 | Alpha | fast | no | low |
 | Beta | cheap | selected | high |
 """
@@ -93,11 +93,12 @@ def test_page_rank_of_a_chain(spark):
 def test_facade(spark, tmp_path):
     g = DocumentGraph.from_texts(spark, [{"title": "Alpha", "content": "Beta helps"}, {"title": "Beta", "content": "uses Gamma Ray"}, {"title": "Gamma Ray", "content": ""}])
     d = g.to_dict()
-    assert [(e["from"], e["to"]) for e in d["edges"]] == [("alpha", "beta"), ("beta", "gamma_ray")]
+    assert [tuple(e[k] for k in ("from", "to")) for e in d["edges"]] == [("alpha", "beta"), ("beta", "gamma_ray")]
     found = g.rank("alpha", k=3)
     assert [n["label"] for n in found["nodes"]] == ["Alpha", "Beta", "Gamma Ray"] and all("score" in n for n in found["nodes"])
     assert {"label": "mentions", "from": "Alpha", "to": "Beta"} in found["edges"]
-    assert g.rank("") == {"nodes": [], "edges": []}
+    nothing = g.rank("")
+    assert not nothing["nodes"] and not nothing["edges"]
     g.to_json(str(tmp_path / "g.json"))
     assert json.loads((tmp_path / "g.json").read_text()) == d
     with pytest.raises(ValueError):
@@ -107,8 +108,8 @@ def test_facade(spark, tmp_path):
 
 
 def test_merge_keeps_the_first(spark):
-    a = DocumentGraph.from_dict(spark, {"nodes": [{"id": "x", "label": "one"}, {"id": "x", "label": "two"}], "edges": []})
-    b = DocumentGraph.from_dict(spark, {"nodes": [{"id": "x", "label": "three"}, {"id": "y", "label": "y"}], "edges": []})
+    a = DocumentGraph.from_dict(spark, {"nodes": [dict(id="x", label="one"), dict(id="x", label="two")]})
+    b = DocumentGraph.from_dict(spark, {"nodes": [dict(id="x", label="three"), dict(id="y", label="y")]})
     m = graph_frames.merge_graphs([graph_frames.Graph(a.nodes, a.edges), graph_frames.Graph(b.nodes, b.edges)])
     assert sorted((r.node_id, r.label) for r in m.nodes.collect()) == [("x", "one"), ("y", "y")]
 
