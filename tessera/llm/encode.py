@@ -11,6 +11,8 @@ from .common import filled, ragged, word_array
 
 #: Distinct pieces that a worker keeps between batches; beyond it, pieces seen in only one batch are forgotten.
 KEPT_PIECES = 100_000
+#: Pieces that are encoded in one call.
+BATCH = 4096
 
 # A piece may begin at a space only before a character that is surely not white space, control or the lead
 # byte of a character that may be (U+0085, U+00A0, U+1680, U+2000..., U+3000).
@@ -73,7 +75,8 @@ class PieceEncoder:
         self.seen[slots[slots >= 0]] += 1
         if len(missing):
             new = [distinct[i] for i in missing]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            # the library's results hold far more than ids, so few of them live at a time
+            got = [e.ids for i in range(0, len(new), BATCH) for e in self.tokenizer.encode_batch_fast(new[i : i + BATCH], add_special_tokens=False)]
             length = np.fromiter(map(len, got), np.int64, len(got))
             flat = np.fromiter((i for ids in got for i in ids), np.int32, int(length.sum()))
             slots[missing] = np.arange(len(self.length), len(self.length) + len(new))
