@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 from .common import beside, hash_words, mixed, word_array, word_ids
 
-#: Positions that a seed compares (1) and ignores (0). No two masks ignore the same positions, so a
-#: substituted word hides at most some of the seeds over it.
-MASKS = ("1101101111", "1110110111", "1011110111", "1111011011")
-#: Items of fewer words than a mask are sought as a whole, without substitutions; those of fewer than this never match.
-LEAST = 5
+#: Positions that a seed compares (1) and ignores (0). Wherever up to 20 % of 10 to 20 words are substituted,
+#: one of these masks still fits over equal words only; tests try every placement.
+MASKS = ("10111", "11101", "110011")
+#: Items of fewer words than WHOLE are sought as a whole, without substitutions; those of fewer than LEAST never match.
+WHOLE, LEAST = 10, 5
 #: An overlap is this many consecutive words of an item (the whole item if shorter) of which at least
 #: SIMILAR percent stand at the same places of the document.
 OVERLAP, SIMILAR = 20, 80
 #: Words of the test set that a scan of the documents carries along; a larger test set takes more scans.
 BLOCK_WORDS = 2_000_000
+#: Seed hits whose surroundings are compared at once.
+HITS = 1 << 14
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ –—‘’“”«»…¿¡"
 
 
@@ -57,20 +59,37 @@ class TestSet:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words, self.first = normal_words(pa.array([t for _, t in items], pa.string()))
         n = np.diff(self.first)
-        self.masks = sorted({*MASKS, *("1" * int(k) for k in n if LEAST <= k < len(MASKS[0]))})
+        self.masks = sorted({*MASKS, *("1" * int(k) for k in n if LEAST <= k < WHOLE)})
         self.tables = []
         for mask in self.masks:
             seed = _seeds(self.words, mask)
             item = np.searchsorted(self.first, np.arange(len(seed)), "right") - 1
             inside = np.arange(len(seed)) + len(mask) <= self.first[item + 1]
-            if mask not in MASKS:
-                inside &= n[item] == len(mask)
+            inside &= n[item] >= WHOLE if mask in MASKS else n[item] == len(mask)
             at = np.flatnonzero(inside)
             order = at[np.argsort(seed[at], kind="stable")]
             bits = np.zeros(1 << 22, bool)
             bits[(seed[order] >> np.uint64(42)).astype(np.int64)] = True
             self.tables.append((mask, seed[order], order, bits))
 
+    def _near(self, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
+        """Whether an overlap lies over each seed hit: at ``at`` of the text that has begin to end, at ``place`` of the item."""
+        low, high = self.first[item], self.first[item + 1]
+        span = np.minimum(OVERLAP, high - low)
+        back = OVERLAP - width
+        total = np.zeros((2 * OVERLAP - width + 1, len(at)), np.int64)
+        for j in range(len(total) - 1):
+            d, i = at + (j - back), place + (j - back)
+            inside = (d >= begin) & (d < end) & (i >= low) & (i < high)
+            total[j + 1] = total[j] + (inside & (h[np.where(inside, d, 0)] == self.words[np.where(inside, i, 0)]))
+        best = np.zeros(len(at), np.int64)
+        for j in range(back + 1):
+            # an overlap from j on that ends after the seed and within the item
+            stop, column = j + span, np.arange(len(at))
+            fits = (place + (j - back) >= low) & (place + (stop - back) <= high) & (stop >= OVERLAP)
+            best = np.maximum(best, np.where(fits, total[stop, column] - total[j], 0))
+        return 100 * best >= np.where(high - low >= WHOLE, SIMILAR, 100) * span
+
     def overlaps(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(text, item's place in the block, share of equal words in the best overlap) of verified overlaps."""
         found: set[tuple[int, int, int]] = set()
@@ -82,10 +101,15 @@ class TestSet:
             at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
             text = np.searchsorted(first, at, "right") - 1
             ok = at + len(mask) <= first[text + 1]
-            for p, d, a, b in zip(at[ok].tolist(), text[ok].tolist(), lo[ok].tolist(), hi[ok].tolist()):
-                for place in places[a:b].tolist():
-                    item = int(np.searchsorted(self.first, place, "right")) - 1
-                    found.add((d, item, p - (place - int(self.first[item]))))
+            at, text, lo, hi = at[ok], text[ok], lo[ok], hi[ok]
+            ends = np.cumsum(hi - lo)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                hit = np.arange(a, min(a + HITS, int(ends[-1])))
+                k = np.searchsorted(ends, hit, "right")
+                place = places[hi[k] - ends[k] + hit]
+                item = np.searchsorted(self.first, place, "right") - 1
+                near = self._near(h, at[k], first[text[k]], first[text[k] + 1], place, item, len(mask))
+                found.update(zip(text[k][near].tolist(), item[near].tolist(), (at[k] - place + self.first[item])[near].tolist()))
         for d, item, begin in sorted(found):
             words = self.words[self.first[item] : self.first[item + 1]]
             lo, hi = max(begin, int(first[d])), min(begin + len(words), int(first[d + 1]))
@@ -94,7 +118,7 @@ class TestSet:
             span = min(OVERLAP, len(words))
             total = np.concatenate([[0], np.cumsum(equal)])
             best = int((total[span:] - total[:-span]).max())
-            if 100 * best >= (SIMILAR if len(words) >= len(MASKS[0]) else 100) * span:
+            if 100 * best >= (SIMILAR if len(words) >= WHOLE else 100) * span:
                 yield d, item, best / span
 
 
@@ -115,9 +139,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     if none) and overlap (share of equal words in it; 0 if none) to the columns of docs.
 
     A text is contaminated if 20 consecutive words of a test item (or all, if it has fewer) stand in it at the
-    same distances with at least 80 % of them equal; of items of fewer than 10 words, all must be. Candidates are places where one of four masks of 10
-    words, which ignore 2 or 3 of them, has the hash of a place of an item; each is verified along its
-    diagonal, so substituted words don't hide a passage. Words are compared lower-cased without punctuation
+    same distances with at least 80 % of them equal; of items of fewer than 10 words, all must be. Candidates are places where one of three masks of 5
+    or 6 words, which ignore 1 or 2 of them, has the hash of a place of an item: every overlap has such a place,
+    wherever its substituted words stand. Each is verified along its diagonal. Words are compared lower-cased without punctuation
     at their ends.
 
     The test set goes to the tasks in blocks of at most 2 million words, each of which passes over the
@@ -161,6 +185,6 @@ def brute_force(text: str | None, items: list[tuple[int, str]]) -> tuple[bool, i
         for begin in range(-len(words) + 1, len(doc)):
             equal = [0 <= begin + k < len(doc) and doc[begin + k] == w for k, w in enumerate(words)]
             top = max(sum(equal[k : k + span]) for k in range(len(words) - span + 1))
-            if 100 * top >= (SIMILAR if len(words) >= len(MASKS[0]) else 100) * span:
+            if 100 * top >= (SIMILAR if len(words) >= WHOLE else 100) * span:
                 best = max(best, (top / span, -item))
     return (True, -best[1], best[0]) if best[0] else (False, None, 0.0)

@@ -1,4 +1,5 @@
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -254,6 +255,39 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert [r.item_id for r in got.orderBy("doc_id").collect()] == [1, 5, None]
 
 
+def overlaps(texts, items):
+    h, first = deco.normal_words(pa.array(texts, pa.string()))
+    best: dict = {}
+    for d, item, share in deco.TestSet(items).overlaps(h, first):
+        best[d] = max(best.get(d, (0.0, 0)), (share, -items[item][0]))
+    return [(True, -best[k][1], best[k][0]) if k in best else (False, None, 0.0) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("n", range(10, 21))
+def test_no_placement_of_substitutions_hides_an_overlap(n):
+    words, gone = [f"q{i}" for i in range(n)], n // 5
+    texts = [" ".join("no" if i in c else w for i, w in enumerate(words)) for c in map(set, combinations(range(n), gone))]
+    assert set(overlaps(texts, [(7, " ".join(words))])) == {(True, 7, (n - gone) / n)}
+    over = [" ".join("no" if i in c else w for i, w in enumerate(words)) for c in map(set, combinations(range(n), gone + 1))]
+    assert set(overlaps(over, [(7, " ".join(words))])) == {(False, None, 0.0)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1, 2, 4, 60]), st.sampled_from([7, 1 << 14]))
+def test_overlaps_are_those_of_brute_force(seed, vocab, hits):
+    r = np.random.default_rng(seed)
+    items = [(k, " ".join(f"w{x}" for x in r.integers(0, vocab, r.integers(1, 45)))) for k in range(4)]
+    texts = ["", *(" ".join(f"w{x}" for x in r.integers(0, vocab, r.integers(1, 30))) for _ in range(3))]
+    for _, t in items:
+        words = t.split()[r.integers(0, 12) :]
+        for _ in range(len(words) // 5):
+            words[r.integers(len(words))] = "X"
+        texts.append(" ".join(words))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(deco, "HITS", hits)
+        assert overlaps(texts, items) == [deco.brute_force(t, items) for t in texts]
+
+
 # quality
 
 
