@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,24 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import graph_frames as G
 from .operators import links, rank
+from .operators.corpus import corpus_graph, local
 from .operators.decision import decision_graph
 from .operators.knowledge import knowledge_graph
+from .operators.media import media_graph
 from .operators.outline import paragraph_graph, section_graph
 from .operators.schema_docs import schema_graph
 from .sources import loaders
 
-BUILDERS = {"knowledge": knowledge_graph, "decision": decision_graph, "schema": schema_graph, "section": section_graph, "paragraph": paragraph_graph}
+#: Of these, the media graph is part of the graph ``all``.
+IMAGES = ".bmp .gif .jpeg .jpg .png .tif .tiff .webp".split()
+
+
+def _media(docs: DataFrame) -> G.Graph:
+    """Media graphs of documents; only those with a length (image files) get file metadata."""
+    return media_graph(docs if "length" in docs.columns else docs.withColumn("length", F.lit(None).cast("long")))
+
+
+BUILDERS = {"media": _media, "knowledge": knowledge_graph, "decision": decision_graph, "schema": schema_graph, "section": section_graph, "paragraph": paragraph_graph}
 
 
 def register_extractor(name: str, build) -> None:
@@ -26,9 +38,11 @@ def register_extractor(name: str, build) -> None:
 
 
 def build_graph(docs: DataFrame, kind: str = "knowledge") -> G.Graph:
-    """Documents (graph_id, source, text) to graphs of a type; ``all`` merges knowledge, decision and schema."""
+    """Documents (graph_id, source, text) to graphs of a type; ``all`` merges knowledge, decision and schema, and
+    media for images."""
     if kind == "all":
-        return G.merge_graphs([BUILDERS[k](docs) for k in ("knowledge", "decision", "schema")])
+        images = docs.where(loaders.suffix_of(F.col("source")).isin(IMAGES))
+        return G.merge_graphs([*(BUILDERS[k](docs) for k in ("knowledge", "decision", "schema")), BUILDERS["media"](images)])
     return BUILDERS[kind](docs)
 
 
@@ -64,12 +78,22 @@ class DocumentGraph:
 
     @classmethod
     def from_document(cls, spark: SparkSession, path: str, kind: str = "knowledge") -> DocumentGraph:
-        """A file or a folder of files, read and extracted."""
-        files = loaders.load(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-        docs = files.where("text IS NOT NULL").select(F.lit("g").alias("graph_id"), F.regexp_replace("path", "^file:/*", "/").alias("source"), "text")
-        one = docs.withColumn("graph_id", F.col("source"))
-        g = build_graph(one, kind)
-        g = G.merged(G.Graph(g.nodes.withColumn("graph_id", F.lit("g")), g.edges.withColumn("graph_id", F.lit("g"))))
+        """A file's graph, or that of a folder: its files' graphs below nodes of folders and files, with links across."""
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            raise FileNotFoundError(path)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        if fs.getFileStatus(at).isDirectory():
+            root = re.sub("^file:/*", "/", fs.makeQualified(at).toString())
+            g = corpus_graph(spark, files, root, lambda docs: build_graph(docs, kind))
+            return cls(spark, g.nodes, g.edges)
+        read = loaders.load(files)
+        lost = read.where("error IS NOT NULL").first()
+        if lost:
+            raise ValueError(f"{path}: {lost.error}")
+        g = G.merged(build_graph(read.select(F.lit("g").alias("graph_id"), local(F.col("path")).alias("source"), "text"), kind))
         return cls(spark, g.nodes, g.edges)
 
     from_directory = from_document

@@ -107,6 +107,42 @@ def test_facade(spark, tmp_path):
         DocumentGraph.from_texts(spark, [{"title": "A b", "content": ""}, {"title": "a B", "content": ""}])
 
 
+def test_folder_graph(spark, tmp_path):
+    files = {"a.md": "# Sparse Walks\nSee [the plan](sub/deep/plan.md).\n", "sub/deep/plan.md": "# Plan Title\nWe build on Sparse Walks here.\n", "bad.jsonl": "{}\n{bad", "p.png": "x", "odd.bin": "x"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    d = DocumentGraph.from_directory(spark, str(tmp_path)).to_dict()
+    kind = {n["id"]: n["attributes"]["type"] for n in d["nodes"]}
+    label = {n["id"]: n["label"] for n in d["nodes"]}
+    assert len(kind) == len(d["nodes"]) and all(e["from"] in kind and e["to"] in kind for e in d["edges"])
+    assert len({tuple(e.values()) for e in d["edges"]}) == len(d["edges"])
+    of = lambda t: sorted(label[i] for i in kind if kind[i] == t)
+    assert [of("corpus"), of("folder"), of("file")] == [[tmp_path.name], ["deep", "sub"], ["a.md", "bad.jsonl", "p.png", "plan.md"]]
+    assert of("load_error") == ["ImportError: p.png", "ValueError: bad.jsonl"] and of("skipped_file") == ["Skipped odd.bin"]
+    status = {n["label"]: n["attributes"]["status"] for n in d["nodes"] if n["attributes"]["type"] == "file"}
+    assert status == {"a.md": "extracted", "bad.jsonl": "failed", "p.png": "failed", "plan.md": "extracted"}
+    got = {(label[e["from"]], e["label"], label[e["to"]]) for e in d["edges"] if kind[e["from"]] in ("corpus", "folder", "file")}
+    assert got >= {(tmp_path.name, "contains", "a.md"), (tmp_path.name, "contains", "sub"), ("sub", "contains", "deep"), ("deep", "contains", "plan.md"), ("p.png", "failed_to_extract", "ImportError: p.png")}
+    assert sum(e["label"] == "extracted_as" and kind[e["from"]] == "file" and kind[e["to"]] == "document" for e in d["edges"]) == 2
+    across = {(kind[e["from"]], e["label"], label[e["to"]]) for e in d["edges"]}
+    assert {("section", "links_to", "plan.md"), ("section", "mentions", "Sparse Walks")} <= across
+    counts = next(n["attributes"] for n in d["nodes"] if n["attributes"]["type"] == "corpus_manifest")
+    assert [counts[f"{k}_file_count"] for k in ("selected", "extracted", "failed", "skipped")] == [4, 2, 2, 3]
+    with pytest.raises(ValueError):
+        DocumentGraph.from_document(spark, str(tmp_path / "p.png"))
+    alone = DocumentGraph.from_document(spark, str(tmp_path / "a.md"), "media").to_dict()
+    assert {n["attributes"]["type"] for n in alone["nodes"]} == {"media_document", "ocr_text"}
+
+
+def test_media_is_part_of_all(spark):
+    from tessera.graph import build_graph
+
+    docs = spark.createDataFrame([("a", "x/a.png", "trend and legend"), ("b", "b.md", "trend and legend")], DOCS)
+    got = {(r.graph_id, r.type) for r in build_graph(docs, "all").nodes.select("graph_id", "type").collect()}
+    assert ("a", "media_document") in got and ("b", "media_document") not in got
+
+
 def test_merge_keeps_the_first(spark):
     a = DocumentGraph.from_dict(spark, {"nodes": [dict(id="x", label="one"), dict(id="x", label="two")]})
     b = DocumentGraph.from_dict(spark, {"nodes": [dict(id="x", label="three"), dict(id="y", label="y")]})
