@@ -23,8 +23,9 @@ from tessera.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns profiles from all labelled rows and drops documents of no language: null text or no letter in it."""
-    out = identify(docs, learn_profiles(docs))
+    """Learns profiles from all labelled rows and drops documents of no language: null text, no letter in it, or
+    no n-gram of any profile. Where no row is labelled there are no profiles, and all texts with a letter stay."""
+    out = identify(docs, learn_profiles(docs), strict=True)
     return out.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

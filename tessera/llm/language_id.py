@@ -15,6 +15,8 @@ from .common import beside, filled, slices
 PROFILE = 300
 #: What a text without a letter, or one that no language can be learned for, gets.
 UNKNOWN = "und"
+#: What a text with a letter gets from a strict judgement where nothing was learned (ISO 639: no code).
+UNLEARNED = "mis"
 
 #: Bytes of text counted at once: some 150 bytes of memory for each.
 SLICE = 2 << 20
@@ -124,7 +126,12 @@ class Profiles:
             self.rank[k, np.searchsorted(self.grams, profiles[lang])] = np.arange(len(profiles[lang]))
 
     def judge(self, grams: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
-        """The nearest language and how far it stands from the next: (second - first) / largest distance."""
+        """The nearest language and how far it stands from the next."""
+        return self.met(grams, counts)[:2]
+
+    def met(self, grams: np.ndarray, counts: np.ndarray) -> tuple[str, float, bool]:
+        """The nearest language, how far it stands from the next: (second - first) / largest distance, and whether it
+        is nearer than the largest distance, that is, shares an n-gram."""
         top = ranked(grams, counts, self.size)
         at = np.searchsorted(self.grams, top)
         at = np.where(self.grams[np.minimum(at, len(self.grams) - 1)] == top, at, len(self.grams))
@@ -133,14 +140,15 @@ class Profiles:
         order = np.argsort(away, kind="stable")
         most = self.size * len(top)
         second = away[order[1]] if len(order) > 1 else most
-        return self.langs[order[0]], float(second - away[order[0]]) / most
+        return self.langs[order[0]], float(second - away[order[0]]) / most, bool(away[order[0]] < most)
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", strict: bool = False) -> DataFrame:
     """Adds lang_pred and score (0 to 1, 0 where the two nearest languages are equally near) to the columns of docs.
 
     Only the text is read, as a whole. Null texts and texts without a letter get ``und`` and 0; so do all
-    where nothing was learned. Of equally near languages the first by name wins. Repeated rows are judged
+    where nothing was learned. With ``strict``, texts that share no n-gram with any profile get ``und`` and 0 too,
+    but those with a letter ``mis`` and 0 where nothing was learned. Of equally near languages the first by name wins. Repeated rows are judged
     alike; an empty table gives none. Columns of docs named lang_pred or score are replaced, all others pass
     through unchanged.
     """
@@ -148,9 +156,11 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
 
     def judge(texts):
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if known:
+        if known or strict:
             for k, grams, counts in _per_text(texts.to_pylist()):
-                lang[k], score[k] = known.judge(grams, counts)
+                name, apart, met = known.met(grams, counts) if known else (UNLEARNED, 0.0, True)
+                if met or not strict:
+                    lang[k], score[k] = name, apart
         return [pa.array(lang, pa.string()), pa.array(score)]
 
     return beside(docs, text_col, [("lang_pred", "string"), ("score", "double")], judge, most=SLICE)

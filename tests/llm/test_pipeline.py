@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -35,3 +36,14 @@ def test_empty_and_odd_rows_pass_every_stage(spark, odd_docs):
             docs = stage(spark, docs, SF)
             assert docs.columns == odd_docs.columns
         p.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_language_stage_rejects_only_what_no_profile_meets(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "the and of", "en"), (2, "der die das", "de"), (3, "日本 語", None), (4, "of das", None), (5, "12 !", "en"), (6, None, "en"), (7, "Ωμέγα", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = lambda d: sorted(r.doc_id for r in p.language(spark, d, SF).collect())
+    assert kept(docs) == [1, 2, 4]
+    assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == [1, 2, 3, 4, 7]
+    assert kept(docs.where("false")) == []
