@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .encode import encoder
+from .encode import SLICE, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
@@ -77,7 +77,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, pieces: str, end_id: int, ca
 
         pid = TaskContext.get().partitionId()
         enc, before = encoder(tokenizer_path, pieces), np.zeros(capacity + 1, np.int64)
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=SLICE):
             ids, at = enc.encode(part.column("text"))
             ids = ids.astype("<u4")
             names = part.column("doc_id").to_pylist()

@@ -14,6 +14,7 @@ block is filled up with its last id.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_folder, slices, stored
-from .encode import encoder
+from .encode import SLICE, encoder
 
 MAGIC = b"TPF1"
 BLOCK = 256
@@ -83,10 +84,15 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (diff + base[:, None]).reshape(-1)
 
 
+#: Stands for a null document id in a file, whose ids are 64-bit numbers.
+_NULL = -(2**63)
+
+
 def _filesystem(folder: str):
+    """The file system of a folder and its path there; s3a and s3n are Hadoop's names for what pyarrow calls s3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
 
 
 class Writer:
@@ -159,8 +165,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pieces:
 
     ``folder`` must be reachable by all executors. Each attempt of a task writes a file of its own name; only
     files of attempts that succeeded are in the manifest, others are deleted. Rows with equal ids stand in
-    one file, ordered by the hash of their text. Null text: the end id alone. Null id: written first, as the
-    smallest long. Empty table: an empty manifest. Other columns are ignored.
+    one file, ordered by the hash of their text. Null text: the end id alone. Null ids: written first, as the
+    smallest long, and null again when read. Empty table: an empty manifest. Other columns are ignored.
     """
     spark = docs.sparkSession
 
@@ -169,7 +175,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pieces:
 
         fs, root = _filesystem(folder)
         enc, out, shard = encoder(tokenizer_path, pieces), None, TaskContext.get().partitionId()
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=SLICE):
             if out is None:
                 name = f"{root}/part-{shard:06d}-{uuid.uuid4().hex}.tpf"
                 stream = fs.open_output_stream(name)
@@ -186,7 +192,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pieces:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "file", "n_docs", "n_tokens"])
 
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -225,7 +231,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                             doc += int(at == ends[doc])
                         done = stop
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crc)],
+                    [pa.array(ids, mask=ids == _NULL), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crc)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

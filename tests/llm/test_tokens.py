@@ -17,24 +17,45 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name,pieces", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "whole")])
 def test_pieces_give_the_library_ids(name, pieces):
     enc, want = PieceEncoder(public_tokenizers.path(name), pieces), library(name)
-    alphabet = st.sampled_from(list("aB'st \n\t\x0b\x1c\x85 　 ́éß12,.<|>") + [" the", " ", "  ", "endoftext"])
+    alphabet = st.sampled_from(list("aB'st \n\t\x0b\x1c\x85 　 ́éß12,.<|>") + [" the", " ", "  ", "endoftext", "<|endoftext|>", "<|startoftext|>", "Ünd", "Σ", "漢", "~", "×"])
+    assert enc.direct == (pieces != "whole")
 
-    @settings(max_examples=150, deadline=None)
-    @given(st.lists(st.lists(alphabet, max_size=12).map("".join), max_size=6))
-    def same(texts):
-        ids, at = enc.encode(pa.array(texts, pa.string()))
-        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want(texts)
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(alphabet, max_size=12).map("".join), max_size=6), st.integers(0, 2))
+    def same(texts, skipped):
+        ids, at = enc.encode(pa.array([None, "a b", *texts], pa.string())[skipped:])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want([None, "a b", *texts][skipped:])
 
     same()
 
 
+def test_special_tokens_are_those_of_the_plain_call():
+    for name, pieces, special in (("byte_bpe_50k.json", "spaced", 50256), ("word_bpe_49k.json", "words", 49407)):
+        ids, _ = PieceEncoder(public_tokenizers.path(name), pieces).encode(pa.array(["one <|endoftext|> two"]))
+        assert ids[-2] == special and ids.tolist() == library(name)(["one <|endoftext|> two"])[0]
+
+
+def test_a_wrongly_named_way_to_cut_falls_back_on_the_library():
+    enc = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "words")
+    assert not enc.direct  # it doesn't lower-case
+
+
+def test_forgotten_pieces_come_back(monkeypatch):
+    monkeypatch.setattr("tessera.llm.encode.KEPT_PIECES", 20)
+    enc, want = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), "words"), library("word_bpe_49k.json")
+    r = np.random.default_rng(3)
+    for _ in range(10):
+        texts = [" ".join(f"Wort{'abc'[x % 3] * (x % 7)}, {x}" for x in r.integers(0, 60, 30)) for _ in range(5)]
+        ids, at = enc.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want(texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32 - 1), st.integers(1, 4), st.sampled_from([1, 2, 60, 50_257, 2**20, 2**32]), st.floats(0, 0.2))
 def test_blocks_round_trip(seed, n, top, odd):
@@ -58,6 +79,14 @@ def test_files_hold_every_document(spark, odd_docs):
     assert got == want
 
 
+def test_null_and_repeated_ids_in_files(spark):
+    docs = spark.createDataFrame([(None, "a"), (3, "b c"), (3, "d"), (None, None), (1, "e")], "doc_id long, text string")
+    folder = token_folder(spark)
+    got = sorted(read_token_files(write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), files=2), folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 3, 3]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
 def test_files_of_an_empty_table(spark, odd_docs):
     folder = token_folder(spark)
     manifest = write_token_files(odd_docs.where("false"), folder, public_tokenizers.path("byte_bpe_50k.json"))
