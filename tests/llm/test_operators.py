@@ -71,31 +71,42 @@ def test_exact_dedup_heavy_group_and_null_ids(spark):
 def lines_by_hand(docs, min_chars=20, min_docs=3):
     key = lambda line: line.strip(BLANKS).translate(UPPER)
     holders = {}
-    for n, (d, t) in enumerate(docs):
+    for d, t in docs:
         for line in (t or "").split("\n"):
-            holders.setdefault(key(line), set()).add((n, d))
+            holders.setdefault(key(line), set()).add(-1 if d is None else d)
     out = []
     for d, t in docs:
         lines = (t or "").split("\n")
-        gone = [len(key(x)) >= min_chars and len(holders[key(x)]) >= min_docs and d != max(i for _, i in holders[key(x)]) for x in lines]
+        gone = [len(key(x)) >= min_chars and len(holders[key(x)]) >= min_docs and (-1 if d is None else d) != max(holders[key(x)]) for x in lines]
         out.append((d, "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone)))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["", "short", "a line of twenty characters", " A line of TWENTY characters\t", "another long line, with é and 語", "x" * 20, "y" * 19]), max_size=5).map("\n".join)), max_size=12))
 def test_line_dedup(spark, texts):
     got = line_dedup(frame(spark, texts)).select("doc_id", "kept_text", "n_lines", "n_dropped")
-    assert sorted(map(tuple, got.collect())) == lines_by_hand(list(enumerate(texts)))
+    assert sorted(map(tuple, got.collect()), key=str) == lines_by_hand(list(enumerate(texts)))
 
 
 def test_line_dedup_odd_rows(spark, odd_docs):
     out = line_dedup(odd_docs)
     assert set(out.columns) == {*odd_docs.columns, "n_lines", "n_dropped"}
-    assert sorted(map(tuple, out.select("doc_id", "kept_text", "n_lines", "n_dropped").collect())) == lines_by_hand([(r.doc_id, r.text) for r in odd_docs.collect()])
+    assert sorted(map(tuple, out.select("doc_id", "kept_text", "n_lines", "n_dropped").collect()), key=str) == lines_by_hand([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert line_dedup(odd_docs.where("false")).count() == 0
 
 
+def test_line_dedup_counts_ids(spark, monkeypatch):
+    a, b, c = (x * 20 for x in "abc")
+    rows = [(1, f"{a}\n{c}"), (1, f"{a}\n{b}"), (2, f"{a}\n{b}"), (3, f"{b}\nx"), (3, c), (None, f"{b}\n{c}"), (None, c), (7, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(lines_by_hand(rows), key=str)
+    assert [n for *_, n in want].count(0) < len(rows)
+    for hot in (256, 1):
+        monkeypatch.setattr("tessera.llm.line_dedup.HOT_KEYS", hot)
+        assert sorted(map(tuple, line_dedup(docs).select("doc_id", "kept_text", "n_lines", "n_dropped").collect()), key=str) == want
+
+
 # URL filter
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("b.c", "", "block"), ("b.c", "/x", "allow"), ("b.c", "/x", "block")]
