@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,12 +27,15 @@ def ascii_lower(c: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests on one machine), a temporary one is set.
+    Where it is unset, a session on one machine gets a temporary one; a cluster raises, as no folder of one
+    machine would do there.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     own = tempfile.mkdtemp(prefix="tessera-")
@@ -39,14 +43,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def stored(df: DataFrame, name: str, remove: list[str] | None = None) -> DataFrame:
+#: The lists that ``noted`` blocks now open keep of the tables written.
+_NOTED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list that gets the paths of the tables that are stored in this block."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.remove(paths)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there and a lost
-    executor costs no recomputation. The path is put into ``remove`` where that is given."""
+    executor costs no recomputation. Whoever returns a result that no longer needs the table drops it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    for paths in _NOTED:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    if remove is not None:
-        remove.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
     """Groups rows with identical text and keeps the one with the largest id.
 
+    0. Each text is read and hashed once; ids and digests are written to the shared folder.
     1. ``freqItems`` (the Misra-Gries counters of Karp, Schenker and Papadimitriou) yields at most
        1 / support digests; every digest held by more than that share of the rows is among them.
-    2. A second scan counts those candidates exactly and finds their winners (partial aggregates: at most
+    2. A second scan of the digests counts those candidates exactly and finds their winners (partial aggregates: at most
        1 / support rows leave a task). This table cannot exceed 1 / support rows, so it is broadcast and its
        rows are decided on the map side.
     3. The digests left, each on at most a ``support`` share of the rows, are grouped by an ordinary shuffle
@@ -23,9 +26,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (group_size counts every row). Null ids never win unless the whole group has none; then keep_id is null
     and kept is true. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_hex"))
-    candidates = rows.stat.freqItems(["_hex"], support).select(F.explode("_hex_freqItems").alias("_hex")).select(F.unhex("_hex").alias("_d"))
-    rows = rows.select("_id", F.unhex("_hex").alias("_d"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("_d"))
+    rows = stored(rows, "digests")
+    hexes = rows.select(F.hex("_d").alias("_hex"))
+    candidates = hexes.stat.freqItems(["_hex"], support).select(F.explode("_hex_freqItems").alias("_hex")).select(F.unhex("_hex").alias("_d"))
     heavy = (
         rows.join(F.broadcast(candidates), "_d", "left_semi")
         .groupBy("_d")
