@@ -4,7 +4,7 @@
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
 Rows with null text pass line dedup as empty lines; language ID rejects them beforehand. Repeated rows are
-treated alike in every stage. Empty tables give empty results. Columns beyond those of documents pass through
+treated alike in every stage, and rows of one id or of none each by their own text. Empty tables give empty results. Columns beyond those of documents pass through
 until packing, which returns pieces.
 """
 
@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dropped, noted, stored
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.language_id import UNKNOWN, identify, learn_profiles
 from tessera.llm.line_dedup import line_dedup
-from tessera.llm.near_dedup import BROADCAST_ROWS, near_duplicates
+from tessera.llm.near_dedup import BROADCAST_ROWS, near_duplicates, text_key
 from tessera.llm.packing import pack
 from tessera.llm.queries import vocabulary
 
@@ -38,10 +38,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents linked at a Jaccard similarity of 0.8 on 5-word shingles."""
-    gone = stored(near_duplicates(docs.select("doc_id", "text"), percent=80).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    """Keeps the smallest doc_id of each group of documents linked at a Jaccard similarity of 0.8 on 5-word shingles.
+
+    Rows go by id and text together: of one id, a row whose text has no near copy stays when another goes. Rows with
+    a null id go where their group has an id, else those of one text stay. A row repeated as it is stays twice."""
+    gone = near_duplicates(docs.select("doc_id", "text"), percent=80).where(~F.col("kept"))
+    gone = stored(gone.select(F.col("doc_id").alias("__np_id"), F.col("text_key").alias("__np_key")).distinct(), "near-gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__np_id")) & (text_key(F.col("text")) == F.col("__np_key"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents. What a stage stored is deleted once its result is, and with it the one before."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with noted() as paths:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        dropped(spark, [*last, *paths[:-1]])
+        last = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

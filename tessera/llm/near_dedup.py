@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, filled, hash_words, mixed, ragged, rolling, slices, stored, word_array, word_ids
@@ -18,7 +18,6 @@ BANDS, ROWS = 28, 4
 BLOCK = 2048
 #: Up to this many rows (16 bytes each) are broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
-_SMALLEST = -(2**63)
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +93,9 @@ def _sketch(batches):
         lengths = np.zeros(len(n), np.int32)
         lengths[full] = BANDS
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(rows.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_key"), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "digest", "bands"]
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,13 +166,30 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": node[moved], "v": node[label[moved]]})
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _classes(sketch: DataFrame) -> DataFrame:
+    """A row for each distinct set: digest, the row that stands for it (id, key) and a 64-bit number (node) that no
+    other class has: the digest's hash, hashed again while two classes share one."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
+    made = sketch.where("digest IS NOT NULL").groupBy("digest").agg(first.alias("r"))
+    made = stored(made.select("digest", "r.id", "r.key", F.xxhash64("digest").alias("node")), "classes")
+    while not (shared := made.groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("twice"))).isEmpty():
+        node = F.when(F.col("twice"), F.xxhash64("node", "digest")).otherwise(F.col("node"))
+        made = stored(made.join(shared, "node", "left").select("digest", "id", "key", node.alias("node")), "classes")
+    return made
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links documents whose sets of 5-word shingles (A-Z lower-cased) satisfy
     100 * intersection >= percent * union. Returns a row per document: id, n_shingles, component_id (the smallest
-    id reachable, itself included) and kept (whether that is its own).
+    id reachable, itself included), kept (whether that is its own) and text_key (tells rows of one id apart).
 
     1. Signatures: 112 circulant MinHash coordinates in 28 bands of 4. Documents with one set form a class,
-       represented by its smallest id, so exact copies never meet in a band.
+       represented by one of its rows with the smallest id, so exact copies never meet in a band.
     2. Candidate groups: each band links its representatives to the smallest of them (one edge a member, never
        all pairs); groups are the components of these edges, so every pair that shares a band is in one group.
     3. Exact verification on full sets of 64-bit shingle hashes: a task compares all members of a group, or
@@ -179,25 +197,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
        edge a member). No pair of a group is skipped and none is emitted.
     4. Components of the verified links.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are equal sets; both
-    keep the id. Null ids count as one smallest id. An empty table gives an empty result; other columns are
-    ignored. Everything between the steps is written to the shared folder.
+    Null, empty and blank texts have no shingles and are linked with nothing. A row's place depends on its own
+    text, whatever its id: rows of one id with different texts may stand in different components. Repeated rows
+    are equal sets; both keep the id. Null ids are larger than any other: in a component that has an id, their
+    rows go; in one that has none, component_id is null and the rows of one text (that of the smallest hash)
+    stay. An empty table gives an empty result; other columns are ignored. Everything between the steps is
+    written to the shared folder.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_SMALLEST)).alias("doc_id"), ascii_lower(F.col(text_col)).alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
-    classes = sketch.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = stored(classes, "classes")
-    # the representatives' bands: rows whose id is their class's; repeated rows collapse in the distinct edges
-    own = sketch.where("digest IS NOT NULL").join(classes, "digest").where("doc_id = node").select("node", F.explode("bands").alias("band"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), ascii_lower(F.col(text_col)).alias("text"))
+    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"), "sketch")
+    classes = _classes(sketch)
+    # the representatives' bands; repeated rows collapse in the distinct edges
+    own = sketch.where("digest IS NOT NULL").join(classes, "digest").where("doc_id <=> id AND text_key = key").select("node", F.explode("bands").alias("band"))
     own = stored(own, "bands")
     hubs = own.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
     edges = own.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     groups = components(edges)
     member = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     size = member.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    member = stored(member.join(size, "root").select("node", "root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "members")
+    member = member.join(size, "root").join(classes, "node")
+    member = stored(member.select("node", "root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "id", "key"), "members")
     few = member.count() <= BROADCAST_ROWS
-    met = rows.join(F.broadcast(member) if few else member, F.col("doc_id") == F.col("node"))
+    met = rows.join(F.broadcast(member) if few else member, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
 
     def sets(batches):
         for part in slices(batches):
@@ -212,10 +233,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # a representative's row repeated in the table comes twice; it links to itself, which changes nothing
     links = tasks.applyInArrow(lambda t: _compare(t, percent), "u long, v long")
     found = components(links)
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    out = sketch.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != _SMALLEST, F.col(c))
-    return out.select(null("doc_id").alias(id_col), "n_shingles", null("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    linked = found.union(found.select(F.col("root").alias("node"), "root").distinct()).join(classes, "node")
+    ends = linked.groupBy("root").agg(F.min("id").alias("low"), F.min("key").alias("least"))
+    linked = linked.select("node", "root").join(ends, "root").select("node", "low", "least", F.lit(True).alias("linked"))
+    named = classes.join(linked, "node", "left").select("digest", F.when(F.col("linked"), F.col("low")).otherwise(F.col("id")).alias("low"), F.coalesce("least", "key").alias("least"))
+    out = sketch.join(named, "digest", "left")
+    alone = F.col("digest").isNull()
+    kept = F.when(alone, True).when(F.col("low").isNull(), F.col("text_key") == F.col("least")).otherwise(F.col("doc_id").eqNullSafe(F.col("low")))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"), kept.alias("kept"), "text_key")
 
 
 def brute_force(rows: list[tuple[int, str | None]], percent: int) -> list[tuple[int, int, int, bool]]:
@@ -243,7 +268,7 @@ def brute_force(rows: list[tuple[int, str | None]], percent: int) -> list[tuple[
         for j, n in met.items():
             if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(i)] = find(j)
-    smallest: dict[int, int] = {}
+    smallest: dict[int, int | None] = {}
     for i, (doc, _) in enumerate(rows):
-        smallest[find(i)] = min(doc, smallest.get(find(i), doc))
+        smallest[find(i)] = min((x for x in (doc, smallest.get(find(i))) if x is not None), default=None)
     return [(doc, len(s), smallest[find(i)], doc == smallest[find(i)]) for i, ((doc, _), s) in enumerate(zip(rows, sets))]

@@ -129,7 +129,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir), percent=85)
+    return near_duplicates(_documents(spark, sf_dir), percent=85).drop("text_key")
 
 
 @query("op2_decontamination")
