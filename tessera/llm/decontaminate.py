@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, hash_words, mixed, word_array, word_ids
+from .common import beside, hash_words, mixed, stored, word_array, word_ids
 
 #: Positions that a seed compares (1) and ignores (0). Wherever up to 20 % of 10 to 20 words are substituted,
 #: one of these masks still fits over equal words only; tests try every placement.
@@ -144,25 +145,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     wherever its substituted words stand. Each is verified along its diagonal. Words are compared lower-cased without punctuation
     at their ends.
 
-    The test set goes to the tasks in blocks of at most 2 million words, each of which passes over the
-    documents in the same stage: memory doesn't grow with the test set, and documents are never shuffled.
+    The test set goes to the tasks in blocks of some 2 million words (at most the words of one item more). A block
+    is broadcast, passes over the documents, and is released before the next one is read; between blocks the
+    documents are written to the shared folder with their best overlap so far. So no memory grows with the
+    test set, and documents are never shuffled.
 
     Null and empty texts are clean. Items that are null, or of fewer than 5 words, match nothing. Repeated
     items count once. Columns of docs named contaminated, item_id or overlap are replaced; others pass through.
     """
-    fields = [("contaminated", "boolean"), ("item_id", "long"), ("overlap", "double")]
-    blocks = [TestSet(b) for b in _blocks(items, item_id, item_text)]
-    spark, shared = docs.sparkSession, []
-    for b in blocks:
-        shared.append(spark.sparkContext.broadcast(b))
+    out, held = docs, None
+    for block in _blocks(items, item_id, item_text):
+        if held is not None:
+            out = stored(out, "decontaminated")
+            held.unpersist()
+        out, held = _pass(out, block, text_col, first=held is None)
+    return out if held is not None else _pass(docs, [], text_col, first=True)[0]
+
+
+def _pass(docs: DataFrame, block: list[tuple[int, str]], text_col: str, first: bool) -> tuple[DataFrame, Broadcast]:
+    """docs with the best overlap with the items of a block or, after the first, of all blocks so far."""
+    shared = docs.sparkSession.sparkContext.broadcast(TestSet(block))
 
     def judge(texts):
         best: dict[int, tuple[float, int]] = {}
-        h, first = normal_words(texts)
-        for b in shared:
-            test = b.value
-            for d, item, share in test.overlaps(h, first):
-                best[d] = max(best.get(d, (0.0, 0)), (share, -int(test.ids[item])))
+        h, starts = normal_words(texts)
+        test = shared.value
+        for d, item, share in test.overlaps(h, starts):
+            best[d] = max(best.get(d, (0.0, 0)), (share, -int(test.ids[item])))
         hit = [best.get(k) for k in range(len(texts))]
         return [
             pa.array([x is not None for x in hit], pa.bool_()),
@@ -170,7 +179,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             pa.array([x[0] if x else 0.0 for x in hit], pa.float64()),
         ]
 
-    return beside(docs, text_col, fields, judge)
+    if first:
+        return beside(docs, text_col, [("contaminated", "boolean"), ("item_id", "long"), ("overlap", "double")], judge), shared
+    met = beside(docs, text_col, [("__dc_hit", "boolean"), ("__dc_item", "long"), ("__dc_share", "double")], judge)
+    better = F.col("__dc_hit") & (~F.col("contaminated") | (F.col("__dc_share") > F.col("overlap")) | ((F.col("__dc_share") == F.col("overlap")) & (F.col("__dc_item") < F.col("item_id"))))
+    met = met.withColumns(
+        {
+            "item_id": F.when(better, F.col("__dc_item")).otherwise(F.col("item_id")),
+            "overlap": F.when(better, F.col("__dc_share")).otherwise(F.col("overlap")),
+            "contaminated": F.col("contaminated") | F.col("__dc_hit"),
+        }
+    )
+    return met.drop("__dc_hit", "__dc_item", "__dc_share"), shared
 
 
 def brute_force(text: str | None, items: list[tuple[int, str]]) -> tuple[bool, int | None, float]:
