@@ -77,6 +77,8 @@ def _batch(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[k for k, _ in _FIELDS])
 
 
+#: Bytes of input to a bucket at most, where the number of shuffle partitions asks for fewer buckets.
+BUCKET = 64 << 20
 #: Bytes of text in a slice; repeats within it don't travel.
 SLICE = 8 << 20
 
@@ -177,9 +179,12 @@ def repeated_spans(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     A first pass drops windows that repeat within a slice of 8 MB of text, so a passage that a third of
     all documents hold leaves each slice once; the rest goes to buckets by the hash of the window's minimiser.
     A bucket holds about 1 / buckets of the distinct text, packed with zstd; by default there are 16 for each
-    shuffle partition.
+    shuffle partition, or more if the planner's size of the input asks for it: a bucket of BUCKET bytes each, so
+    that a bucket, which one task unpacks, doesn't grow with the corpus.
     """
-    buckets = buckets or 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = buckets or min(2**30, max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET))
     rows = _keyed(docs, id_col, text_col).where(F.col("text").isNotNull())
     packed = rows.mapInArrow(lambda b: _split(b, length, buckets), _OUT)
     return packed.groupBy("bucket").applyInArrow(lambda t: _count(t, length), "doc_id long, text_key long, from_word long, to_word long")
