@@ -128,6 +128,16 @@ def test_url_filter(spark):
     assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect())) == [(i, *judged(u)) for i, u in enumerate(urls + urls[4:6])]
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_url_filter_either_way(spark, few, monkeypatch):
+    monkeypatch.setattr("tessera.llm.url_filter.MAP_SHAPES", few)
+    urls = ["http://Example.ORG/en/1", "http://x.b.c/x", "http://b.c/x", "", None, "http://", "http://a.org/?", "http://org"]
+    pages = spark.createDataFrame([(i, u, "taken", 1) for i, u in enumerate(urls * 2)], "page_id long, url string, _labels string, __uf_x int")
+    got = url_filter(pages, spark.createDataFrame([*RULES, *RULES], "host string, path string, verdict string"))
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect())) == [(i, *judged(u)) for i, u in enumerate(urls * 2)]
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+
+
 def test_url_filter_without_rules_or_pages(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
@@ -175,7 +185,7 @@ def test_equal_hashes_are_compared_by_words():
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(spark, percent):
     texts = [None, "", "one", "ONE", "two words", *passages(3, 150, most=200)]
-    got = near.near_duplicates(frame(spark, texts), percent)
+    got = near.near_duplicates(frame(spark, texts), percent).drop("text_key")
     assert sorted(map(tuple, got.collect())) == near.brute_force(list(enumerate(texts)), percent)
 
 
@@ -188,16 +198,35 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
             words[(i * 7 + k * 31) % 120] = f"x{i}{k}"
         texts.append(" ".join(words))
     monkeypatch.setattr(near, "BLOCK", 8)
-    got = near.near_duplicates(frame(spark, texts), 85)
+    got = near.near_duplicates(frame(spark, texts), 85).drop("text_key")
     assert sorted(map(tuple, got.collect())) == near.brute_force(list(enumerate(texts)), 85)
 
 
 def test_near_duplicates_odd_rows(spark, odd_docs):
-    got = sorted(map(tuple, near.near_duplicates(odd_docs).collect()))
+    got = sorted(map(tuple, near.near_duplicates(odd_docs).drop("text_key").collect()))
     assert got == sorted(near.brute_force([(r.doc_id, r.text) for r in odd_docs.collect()], 80))
     assert near.near_duplicates(odd_docs.where("false")).count() == 0
 
 
+def test_near_duplicates_by_rows_of_null_and_shared_ids(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (3, a), (7, b), (1, b), (5, a), (5, b), (5, b + " end"), (None, c), (None, "C" + c[1:] + " x"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near.brute_force(rows, 80)
+    got = near.near_duplicates(docs).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == sorted([w[:3] for w in want], key=str)
+    key = {near_key: text for text, near_key in spark.createDataFrame([(t,) for _, t in rows], "text string").distinct().select("text", near.text_key(F.col("text"))).collect()}
+    kept = sorted(((r.doc_id, key[r.text_key] or "") for r in got if r.kept), key=str)
+    nulls = [x for x in kept if x[0] is None]
+    assert [x for x in kept if x[0] is not None] == [(1, b), (3, a)]
+    assert len(nulls) == 3 and sum(x[1][:2].lower() == "c0" for x in nulls) == 1
+    # classes that share a number are told apart
+    sketch = spark.createDataFrame([(i, i, 1, bytes([i]) * 16, [1]) for i in range(4)], "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>")
+    real = F.xxhash64
+    monkeypatch.setattr(near.F, "xxhash64", lambda *c: F.lit(5).cast("long") if c == ("digest",) else real(*c))
+    assert near._classes(sketch).select("node").distinct().count() == 4
+
+
 def test_circulant_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a = np.unique(r.integers(0, 2**63, 1000).astype(np.uint64))
@@ -264,6 +293,13 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     docs = frame(spark, [ITEMS[0][1], ITEMS[4][1], "nothing of it"])
     got = deco.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert [r.item_id for r in got.orderBy("doc_id").collect()] == [1, 5, None]
+    # the better of overlaps with items of different blocks, the smaller id of equal ones
+    q = ITEMS[0][1].split()
+    bent = " ".join(w if i % 7 else "no" for i, w in enumerate(q))
+    items = [(9, bent), (4, ITEMS[0][1]), (6, ITEMS[0][1]), (2, bent + " more"), (8, ITEMS[4][1])]
+    texts = [ITEMS[0][1], bent, "x", None, ITEMS[4][1]]
+    got = deco.decontaminate(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "contaminated", "item_id", "overlap")
+    assert sorted(map(tuple, got.collect())) == [(i, *deco.brute_force(t, items)) for i, t in enumerate(texts)]
 
 
 def overlaps(texts, items):

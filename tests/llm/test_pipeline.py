@@ -28,6 +28,28 @@ def test_stages_and_run(spark):
     assert sorted(map(tuple, p.run(spark, SF).select(key).collect())) == sorted(map(tuple, last.select(key).collect()))
 
 
+def test_no_text_is_lost_with_a_shared_or_null_id(spark):
+    import corpus_pipeline as p
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, b), (5, a), (5, b), (None, b), (None, "no copy of it"), (6, "short"), (6, "short too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, p.near(spark, docs, SF).collect()), key=str) == sorted([(1, b), (5, a), (None, "no copy of it"), (6, "short"), (6, "short too")], key=str)
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs.withColumn("lang", docs["text"]), SF) if stage is p.language else stage(spark, docs, SF)
+
+
+def test_run_leaves_two_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    from tessera.llm.common import shared_folder
+
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    p.run(spark, SF).count()
+    assert len(set(os.listdir(root)) - before) == 2  # the last stage's documents and its pieces
+
+
 def test_empty_and_odd_rows_pass_every_stage(spark, odd_docs):
     import corpus_pipeline as p
 
