@@ -84,8 +84,26 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+_CACHE: dict = {}
+_CACHE_STAGE: list[int | None] = [None]
+
+
+def stage_cache() -> dict:
+    """What this worker process keeps between tasks of one stage; the first task of another stage empties it."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _CACHE_STAGE[0] != stage:
+        _CACHE.clear()
+        _release()
+        _CACHE_STAGE[0] = stage
+    return _CACHE
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Splits batches so that none holds more than ``most`` bytes of text, but for a single longer row."""
+    stage_cache()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -163,7 +181,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def beside(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], judge, most: int = 8 << 20) -> DataFrame:
+def beside(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], judge, most: int = 4 << 20) -> DataFrame:
     """All columns of docs and new ones computed from the text alone, without a join.
 
     ``judge`` takes an array of texts (null: empty) and returns an array for each of ``fields`` (name, type).

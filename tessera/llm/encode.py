@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import filled, ragged, word_array
+from .common import filled, ragged, stage_cache, word_array
 
 #: Distinct pieces that a worker keeps between batches; beyond it, pieces seen in only one batch are forgotten.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 #: Bytes of text that are encoded at once: some 25 bytes of memory for each.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Pieces that are encoded in one call.
 BATCH = 4096
 
@@ -165,12 +165,9 @@ class PieceEncoder:
         self.start = np.cumsum(length) - length
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, pieces: str) -> PieceEncoder:
-    """One encoder for each worker process, kept between tasks."""
-    key = (path, pieces)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, pieces)
-    return _ENCODERS[key]
+    """One encoder for each worker process, kept between tasks of a stage."""
+    cache, key = stage_cache(), ("encoder", path, pieces)
+    if key not in cache:
+        cache[key] = PieceEncoder(path, pieces)
+    return cache[key]

@@ -19,7 +19,7 @@ UNKNOWN = "und"
 UNLEARNED = "mis"
 
 #: Bytes of text counted at once: some 150 bytes of memory for each.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _FOLD: list[np.ndarray] = []
 
