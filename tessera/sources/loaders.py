@@ -1,15 +1,18 @@
-"""Files to text: one row per file in, one string out, by suffix. Built-in expressions except for HTML and nested JSON."""
+"""Files to text: one row per file in, one string out, by suffix. Built-in expressions except for HTML, nested JSON, delimited tables, Word files and slides."""
 
 from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .office import csv_text, docx_text, pptx_text
+
 LANGUAGES = {
     "bash": "sh bash zsh", "c": "c h", "cpp": "cpp cc hpp", "csharp": "cs", "go": "go", "java": "java", "javascript": "js jsx", "json": "json",
     "kotlin": "kt", "markdown": "md", "php": "php", "python": "py", "r": "r", "ruby": "rb", "rust": "rs", "scala": "scala", "sql": "sql",
@@ -98,7 +101,7 @@ def json_text(text: str, lines: bool = False, most: int | None = None) -> str:
 
 
 class _Html(HTMLParser):
-    SKIP = frozenset("script style noscript template head title".split()) - {"head", "title"}
+    SKIP = frozenset("script style noscript template".split())
     BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
     def __init__(self):
@@ -150,14 +153,18 @@ def _safe(f, *args):
 def load(files: DataFrame) -> DataFrame:
     """files (path, content) of the binaryFile source to (path, text, error): a file that can't be read gets an
     error and doesn't end the run."""
+    made = "path string, text string, error string"
     f = files.select("path", suffix_of(F.col("path")).alias("suffix"), "content")
     text = f.where(~F.col("suffix").isin([f".{b}" for b in BINARY])).select("path", "suffix", decoded(F.col("content")).alias("text"))
     none = F.lit(None).cast("string")
     html = text.where(F.col("suffix").isin(".html", ".htm")).select("path", "text").mapInArrow(_each(html_text), "path string, text string, error string")
     js = text.where(F.col("suffix").isin(".json", ".jsonl")).select("path", "text", (F.col("suffix") == ".jsonl").alias("l")).mapInArrow(_each(json_text), "path string, text string, error string")
-    rest = text.where(~F.col("suffix").isin(".html", ".htm", ".json", ".jsonl"))
+    tables = text.where(F.col("suffix").isin(".csv", ".tsv")).select("path", "text", F.when(F.col("suffix") == ".tsv", "\t").otherwise(",").alias("sep")).mapInArrow(_each(csv_text), made)
+    rest = text.where(~F.col("suffix").isin(".html", ".htm", ".json", ".jsonl", ".csv", ".tsv"))
+    docx = f.where("suffix = '.docx'").select("path", "content").mapInArrow(_each(docx_text), made)
+    pptx = f.where("suffix = '.pptx'").select("path", "content").mapInArrow(_each(pptx_text), made)
     codes = sorted({f".{e}" for v in LANGUAGES.values() for e in v.split()} - {".md", ".json"})
     body = F.when(F.col("suffix").isin(codes), code(plain(F.col("text")), F.col("path"))).otherwise(plain(F.col("text")))
     rest = rest.select("path", body.alias("text"), none.alias("error"))
-    lost = f.where(F.col("suffix").isin([f".{b}" for b in BINARY])).select("path", none.alias("text"), F.concat(F.lit("no reader installed for "), F.col("suffix")).alias("error"))
-    return rest.unionByName(html).unionByName(js).unionByName(lost)
+    lost = f.where(F.col("suffix").isin([f".{b}" for b in BINARY if b not in ("docx", "pptx")])).select("path", none.alias("text"), F.concat(F.lit("no reader installed for "), F.col("suffix")).alias("error"))
+    return reduce(DataFrame.unionByName, [rest, html, js, tables, docx, pptx, lost])
