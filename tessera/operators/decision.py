@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph_frames import Graph, edge_row, merged, node_row, union_all
-from .outline import section_rows
+from .graph_frames import Graph, edge_row, merged, node_row
+from .tables import table_runs
 
 STATUSES = "accepted proposed rejected deprecated superseded deferred".split()
 #: Cues of a section's role, in the order in which roles are tried.
@@ -54,29 +54,26 @@ def _holds(text: Column, words: str) -> Column:
 
 def section_role(title: Column, content: Column) -> Column:
     """By the title against all roles, then by title and the first 300 characters; else decision_context."""
-    t = F.lower(title)
+
+    def first(text: Column) -> Column:
+        return F.coalesce(*(F.when(_holds(text, words), role) for role, words in ROLE_CUES.items()))
+
     both = F.lower(F.concat(title, F.lit("\n"), T.cut(content, 300)))
-    out = None
-    for text in (t, both):
-        for role, words in ROLE_CUES.items():
-            out = F.when(_holds(text, words), role) if out is None else out.when(_holds(text, words), role)
-    return out.otherwise("decision_context")
+    return F.coalesce(T.let(F.lower(title), first), T.let(both, first), F.lit("decision_context"))
 
 
 def item_role(text: Column, default: Column) -> Column:
     """The first rule that fits a line; else the role of its section."""
-    low = F.lower(text)
-    out = None
-    for role, pattern in _ITEM:
-        value = F.when(default == "consequence", "consequence").otherwise("cons") if role == "risk" else F.lit(role)
-        hit = F.rlike(low, F.lit(pattern))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(default)
+
+    def first(low: Column) -> Column:
+        value = lambda role: F.when(default == "consequence", "consequence").otherwise("cons") if role == "risk" else F.lit(role)
+        return F.coalesce(*(F.when(F.rlike(low, F.lit(pattern)), value(role)) for role, pattern in _ITEM), default)
+
+    return T.let(F.lower(text), first)
 
 
 def decision_status(title: Column, content: Column) -> Column:
-    text = F.lower(F.concat(title, F.lit("\n"), content))
-    return F.coalesce(*(F.when(_holds(text, s), s) for s in STATUSES))
+    return T.let(F.lower(F.concat(title, F.lit("\n"), content)), lambda text: F.coalesce(*(F.when(_holds(text, s), s) for s in STATUSES)))
 
 
 def positive_cell(c: Column) -> Column:
@@ -86,13 +83,15 @@ def positive_cell(c: Column) -> Column:
     return ~no & (low.isin("y", "yes", "selected", "recommended", "chosen", "accepted") | F.rlike(low, F.lit("recommend|select|accept|chosen|choose")))
 
 
-def items(sections: DataFrame) -> DataFrame:
-    """(graph_id, i, line, text): bullets, and lines that open with a known word and a colon."""
-    lines = sections.select("graph_id", "i", F.posexplode(F.transform(T.split_lines(F.col("content")), T.strip)).alias("line", "x"))
-    lines = lines.where(~F.col("x").startswith("|") & ~F.col("x").startswith("#") & (F.col("x") != ""))
-    bullet = T.strip(F.regexp_extract("x", _BULLET, 1))
-    text = F.when(F.rlike("x", F.lit(_BULLET)), bullet).when(F.rlike("x", F.lit(_PREFIXED)), F.col("x"))
-    return lines.withColumn("text", text).where("text IS NOT NULL").select("graph_id", "i", "line", "text")
+def items(content: Column) -> Column:
+    """Array of (line, text) of a section: bullets, and lines that open with a known word and a colon."""
+
+    def said(x: Column) -> Column:
+        bullet = F.when(F.rlike(x, F.lit(_BULLET)), T.strip(F.regexp_extract(x, _BULLET, 1))).when(F.rlike(x, F.lit(_PREFIXED)), x)
+        return F.when(~x.startswith("|") & ~x.startswith("#") & (x != ""), bullet)
+
+    lines = F.transform(T.split_lines(content), lambda x, k: F.struct(k.alias("line"), T.let(T.strip(x), said).alias("text")))
+    return F.filter(lines, lambda e: e["text"].isNotNull())
 
 
 _ALIASES = {
@@ -114,28 +113,27 @@ def header_role(c: Column) -> Column:
     return out.otherwise(h)
 
 
-def option_rows(sections: DataFrame) -> DataFrame:
-    """Rows of decision tables: (graph_id, i, t, r, row) with row an array of (k, v) by header role; a table is a
-    line with a bar, a line of dashes for at least two columns, and the lines with bars after it."""
-    lines = sections.select("graph_id", "i", F.posexplode(T.split_lines(F.col("content"))).alias("p", "line"))
-    sec = Window.partitionBy("graph_id", "i")
+def option_tables(content: Column) -> Column:
+    """Decision tables of a section with at least one row: an array of tables, each an array of rows, each an array of
+    (k, v) by header role. A table is a line with a bar, a line of dashes for at least two columns, and the lines
+    with bars after it."""
     bar = r":?-{3,}:?\s*"
     dash = rf"^\s*[|]?\s*{bar}(?:[|]\s*{bar})+[|]?\s*$"
-    lines = lines.withColumns({"bar": F.contains("line", F.lit("|")), "dash": F.rlike("line", F.lit(dash))}).where("bar")
-    lines = lines.withColumn("run", F.col("p") - F.row_number().over(sec.orderBy("p")))
-    run = Window.partitionBy("graph_id", "i", "run")
-    lines = lines.withColumn("first", F.min("p").over(run))
-    lines = lines.withColumn("sep", F.min(F.when(F.col("dash") & (F.col("p") > F.col("first")), F.col("p"))).over(run)).where("p >= sep - 1")
-    x = T.strip(F.col("line"))
-    x = F.regexp_replace(F.regexp_replace(x, r"^\|", ""), r"\|$", "")
-    lines = lines.withColumn("cells", F.transform(F.split(x, r"\|"), T.strip))
-    lines = lines.withColumn("head", F.max(F.when(F.col("p") == F.col("sep") - 1, F.transform("cells", header_role))).over(run))
-    names = F.array_distinct(F.filter("head", lambda h: h != ""))
-    last = lambda n: F.filter(F.zip_with(F.slice("head", F.lit(1), F.size("cells")), F.slice("cells", F.lit(1), F.size("head")), lambda h, c: F.struct(h.alias("k"), c.alias("v"))), lambda e: e["k"] == n)
-    row = F.filter(F.transform(names, lambda n: F.struct(n.alias("k"), F.try_element_at(last(n), F.lit(-1))["v"].alias("v"))), lambda e: e["v"].isNotNull())
-    rows = lines.where("p > sep").withColumn("row", row).where(F.exists("row", lambda e: e["v"] != ""))
-    rows = rows.withColumns({"t": F.dense_rank().over(sec.orderBy("run")) - 1, "r": F.row_number().over(run.orderBy("p")) - 1})
-    return rows.select("graph_id", "i", "t", "r", "row")
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.regexp_replace(T.strip(line), r"^\|", ""), r"\|$", ""), r"\|"), T.strip)
+
+    def row(head: Column, cells: Column) -> Column:
+        pairs = F.zip_with(F.slice(head, F.lit(1), F.size(cells)), F.slice(cells, F.lit(1), F.size(head)), lambda h, c: F.struct(h.alias("k"), c.alias("v")))
+        names = F.array_distinct(F.filter(head, lambda h: h != ""))
+        last = lambda pairs, n: F.try_element_at(F.filter(pairs, lambda e: e["k"] == n), F.lit(-1))["v"]
+        made = T.let(pairs, lambda p: F.transform(names, lambda n: F.struct(n.alias("k"), last(p, n).alias("v"))))
+        return F.filter(made, lambda e: e["v"].isNotNull())
+
+    def rows(head: Column, body: Column) -> Column:
+        return F.filter(F.transform(body, lambda x: T.let(cells(x), lambda c: row(head, c))), lambda r: F.exists(r, lambda e: e["v"] != ""))
+
+    runs = table_runs(T.split_lines(content), lambda x: F.contains(x, F.lit("|")), lambda x: F.rlike(x, F.lit(dash)))
+    found = F.transform(runs, lambda t: T.let(F.transform(cells(t["head"]), header_role), lambda head: rows(head, t["body"])))
+    return F.when(F.contains(content, F.lit("|")), F.filter(found, lambda t: F.size(t) > 0)).otherwise(F.array())
 
 
 def _value(row: Column, key: str) -> Column:
@@ -159,107 +157,170 @@ def option_score(option: Column, decision: Column) -> Column:
     return F.when((option == "") | (F.size(terms) == 0), 0).otherwise(one + whole)
 
 
+_EVENT = {"at": "array<bigint>", "scope": "string", "role": "string", "id": "string", "parent": "string", "title": "string", "text": "string", "own": "string", "level": "int", "section": "string", "status": "string"}
+
+
+def _event(at: list[Column], **given: Column) -> Column:
+    given["at"] = F.array(*at, *[F.lit(0)] * (5 - len(at)))
+    return F.struct(*(given.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in _EVENT.items()))
+
+
+def _root(source: Column) -> Column:
+    return T.node_id("decision_document", F.when(F.coalesce(source, F.lit("")) != "", source).otherwise("document"))
+
+
+def logs(docs: DataFrame) -> DataFrame:
+    """Of documents (graph_id, source, text), one graph each: a row per document (graph_id, source, root, log), log the
+    array of its events in order of at. No row needs another, so nothing is shuffled."""
+    src, root = F.col("source"), F.col("root")
+
+    def section(s: Column) -> Column:
+        status = F.when(s["role"] == "decision", decision_status(s["title"], s["content"]))
+        return _event([s["i"]], scope=F.lit("section"), role=s["role"], id=s["id"], parent=root, title=s["title"], text=s["content"], level=s["level"], section=s["title"], status=status)
+
+    def item(s: Column, e: Column) -> Column:
+        def made(role: Column) -> Column:
+            nid = T.scoped_id(role, src, F.concat(s["i"].cast("string"), F.lit("-line-"), e["line"].cast("string"), F.lit("-"), e["text"]))
+            status = F.when(role == "decision", decision_status(F.lit(""), e["text"]))
+            return _event([s["i"], F.lit(2), e["line"]], scope=F.lit("item"), role=role, id=nid, parent=s["id"], title=T.label(e["text"]), text=e["text"], section=s["title"], status=status)
+
+        return T.let(item_role(e["text"], s["role"]), made)
+
+    def table(s: Column, rows: Column, t: Column) -> Column:
+        has = lambda k: F.exists(rows, lambda row: _value(row, k) != "")
+        said = T.let(F.when(has("option"), "option").when(has("name"), "name").when(has("title"), "title"), lambda k: F.transform(rows, lambda row: F.coalesce(F.nullif(T.strip(_value(row, k)), F.lit("")), _value(row, "decision"))))
+        return F.flatten(F.zip_with(F.transform(rows, lambda row, r: F.struct(row.alias("row"), r.alias("r"))), said, lambda x, opt: cells(s, t, x["r"], x["row"], opt)))
+
+    def cells(s: Column, t: Column, r: Column, row: Column, opt: Column) -> Column:
+        def made(body: Column) -> Column:
+            key = F.concat_ws("-", s["i"], t, r, F.coalesce(F.nullif(opt, F.lit("")), body))
+            table_id = lambda kind: T.scoped_id(kind, src, F.concat(F.lit("table-"), key))
+            out = []
+            for k, kind in enumerate("option pros cons tradeoff decision consequence confidence".split()):
+                text = body if kind == "option" else _value(row, kind)
+                name = opt if kind == "option" else text
+                ok = (opt != "") if kind == "option" else positive_cell(text) if kind == "decision" else text != ""
+                out.append(F.when(ok, _event([s["i"], F.lit(1), t, r, F.lit(k)], scope=F.lit("row"), role=F.lit(kind), id=table_id(kind), parent=s["id"], title=T.label(name), text=body if kind in ("option", "decision") else text, own=F.when(opt != "", table_id("option")), section=s["title"])))
+            return F.array_compact(F.array(*out))
+
+        return T.let(F.array_join(F.transform(F.filter(row, lambda e: e["v"] != ""), lambda e: F.concat(e["k"], F.lit(": "), e["v"])), "\n"), made)
+
+    def of_section(s: Column) -> Column:
+        rows = F.flatten(F.transform(option_tables(s["content"]), lambda rows, t: table(s, rows, t)))
+        return F.concat(F.array(section(s)), rows, F.transform(items(s["content"]), lambda e: item(s, e)))
+
+    parts = T.sections(F.coalesce("text", F.lit("")), None, "Decision")
+    parts = F.transform(parts, lambda s, i: F.struct(i.alias("i"), s["title"].alias("title"), s["level"].alias("level"), s["content"].alias("content"), section_role(s["title"], s["content"]).alias("role")))
+    named = F.transform(parts, lambda s: s.withField("id", T.scoped_id(s["role"], src, F.concat_ws("-", s["i"], s["title"]))))
+    d = docs.select("graph_id", "source", "text", _root(src).alias("root"))
+    return d.select("graph_id", "source", "root", F.flatten(F.transform(named, of_section)).alias("log"))
+
+
 def events(docs: DataFrame) -> DataFrame:
     """The log: a row per section, option-table cell and item, ordered by at (an array of numbers).
 
     Columns: graph_id, source, root, at, scope (section, row, item), role, id, parent, title, text, own (the option
-    of a table row; the row's key where it reuses the current one), level, section, status, spot."""
-    src = F.col("source")
-    root = T.node_id("decision_document", F.when(F.coalesce(src, F.lit("")) != "", src).otherwise("document"))
-    s = section_rows(docs, before=None, alone="Decision").withColumn("root", root)
-    s = s.withColumn("role", section_role(F.col("title"), F.col("content"))).withColumn("id", T.scoped_id(F.col("role"), src, F.concat_ws("-", "i", "title")))
-    long = lambda *c: F.array(*(x.cast("long") for x in c))
-    zero, none = F.lit(0), F.lit(None).cast("string")
-    sec = s.select("graph_id", "source", "root", long(F.col("i"), zero, zero, zero, zero).alias("at"), F.lit("section").alias("scope"), "role", "id", F.col("root").alias("parent"), "title", F.col("content").alias("text"), none.alias("own"), "level", F.col("title").alias("section"), F.when(F.col("role") == "decision", decision_status(F.col("title"), F.col("content"))).alias("status"))
-    meta = s.select("graph_id", "source", "root", "i", F.col("id").alias("sid"), F.col("role").alias("srole"), F.col("title").alias("stitle"))
-    it = items(s).join(meta, ["graph_id", "i"]).withColumn("role", item_role(F.col("text"), F.col("srole")))
-    it = it.withColumn("id", T.scoped_id(F.col("role"), src, F.concat(F.col("i"), F.lit("-line-"), F.col("line"), F.lit("-"), F.col("text"))))
-    it = it.select("graph_id", "source", "root", long(F.col("i"), F.lit(2), F.col("line"), zero, zero).alias("at"), F.lit("item").alias("scope"), "role", "id", F.col("sid").alias("parent"), T.label(F.col("text")).alias("title"), "text", none.alias("own"), F.lit(None).cast("int").alias("level"), F.col("stitle").alias("section"), F.when(F.col("role") == "decision", decision_status(F.lit(""), F.col("text"))).alias("status"))
-
-    rows = option_rows(s)
-    tab = Window.partitionBy("graph_id", "i", "t")
-    has = {k: F.max(_value(F.col("row"), k) != "").over(tab) for k in ("option", "name", "title")}
-    rows = rows.withColumns({f"has_{k}": v for k, v in has.items()})
-    said = F.when(F.col("has_option"), _value(F.col("row"), "option")).when(F.col("has_name"), _value(F.col("row"), "name")).when(F.col("has_title"), _value(F.col("row"), "title")).otherwise("")
-    rows = rows.withColumn("opt", F.coalesce(F.nullif(T.strip(said), F.lit("")), _value(F.col("row"), "decision"))).join(meta, ["graph_id", "i"])
-    body = F.array_join(F.transform(F.filter("row", lambda e: e["v"] != ""), lambda e: F.concat(e["k"], F.lit(": "), e["v"])), "\n")
-    rows = rows.withColumns({"body": body, "key": F.concat_ws("-", "i", "t", "r", F.coalesce(F.nullif("opt", F.lit("")), body))})
-    table_id = lambda kind: T.scoped_id(kind, src, F.concat(F.lit("table-"), F.col("key")))
-    rows = rows.withColumn("own", F.when(F.col("opt") != "", table_id("option")))
-    kinds = "option pros cons tradeoff decision consequence confidence".split()
-    cells = []
-    for k, kind in enumerate(kinds):
-        text = F.col("body") if kind == "option" else _value(F.col("row"), kind)
-        name = F.col("opt") if kind == "option" else text
-        ok = (F.col("opt") != "") if kind == "option" else positive_cell(text) if kind == "decision" else text != ""
-        cells.append(F.when(ok, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("role"), table_id(kind).alias("id"), T.label(name).alias("title"), (F.col("body") if kind in ("option", "decision") else text).alias("text"))))
-    rw = rows.select("*", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-    rw = rw.select("graph_id", "source", "root", long(F.col("i"), F.lit(1), F.col("t"), F.col("r"), F.col("cell.k")).alias("at"), F.lit("row").alias("scope"), F.col("cell.role").alias("role"), F.col("cell.id").alias("id"), F.col("sid").alias("parent"), F.col("cell.title").alias("title"), F.col("cell.text").alias("text"), "own", F.lit(None).cast("int").alias("level"), F.col("stitle").alias("section"), none.alias("status"))
-    return union_all([sec, rw, it])
+    of a table row; the row's key where it reuses the current one), level, section, status."""
+    return logs(docs).select("graph_id", "source", "root", F.inline("log"))
+
+
+_TOLD = "array<struct<id:string,at:array<bigint>>>"
+_STATE = {"P": "string", "O": "string", "D": "string", "S": "string", "opts": "array<struct<id:string,said:string>>", "ctx": _TOLD}
+_BEFORE = {"P": "string", "O": "string", "D": "string", "S": "string", "sel": "string", "row_opt": "string", "ctx": _TOLD}
+
+
+def _carried(log: Column) -> Column:
+    """For each event of a log in order: P last problem, O current option, D current decision, S option selected by it,
+    all before the event; sel, what a decision selects; row_opt, the option of a row; ctx, the contexts before a
+    decision."""
+    none = F.lit(None)
+    typed = lambda kinds, given: F.struct(*(given.get(k, F.array() if kind.startswith("array") and k != "sel" else none).cast(kind).alias(k) for k, kind in kinds.items()))
+    outs = f"array<struct<{','.join(f'{k}:{v}' for k, v in _BEFORE.items())}>>"
+
+    def best(opts: Column, said: Column) -> Column:
+        """The earliest of the options that the decision names most."""
+        scored = F.transform(opts, lambda o, k: F.struct(option_score(o["said"], said).alias("score"), (-k).alias("k"), o["id"].alias("id")))
+        return T.let(F.array_max(scored), lambda m: F.when(m["score"] > 0, m["id"]))
+
+    def step(acc: Column, e: Column) -> Column:
+        role, row = e["role"], e["scope"] == "row"
+        of_row = F.when(row, F.coalesce(e["own"], acc["O"]))
+        chosen = F.when(role == "decision", F.when(row, of_row).otherwise(F.coalesce(best(acc["opts"], e["said"]), acc["O"])))
+
+        def after(sel: Column) -> Column:
+            decides = role == "decision"
+            before = {"P": acc["P"], "O": acc["O"], "D": acc["D"], "S": acc["S"], "sel": sel, "row_opt": of_row, "ctx": F.when(decides & ~row, acc["ctx"])}
+            now = {
+                "P": F.when((role == "problem") & ~row, e["id"]).otherwise(acc["P"]),
+                "O": F.when(role == "option", e["id"]).otherwise(acc["O"]),
+                "D": F.when(decides, e["id"]).otherwise(acc["D"]),
+                "S": F.when(decides, sel).otherwise(acc["S"]),
+                "opts": F.when(role == "option", F.concat(acc["opts"], F.array(F.struct(e["id"].alias("id"), e["said"].alias("said"))))).otherwise(acc["opts"]),
+                "ctx": F.when((role == "context") & ~row, F.concat(acc["ctx"], F.array(F.struct(e["id"].alias("id"), e["at"].alias("at"))))).otherwise(acc["ctx"]),
+            }
+            return F.struct(*(now[k].cast(kind).alias(k) for k, kind in _STATE.items()), F.concat(acc["out"], F.array(typed(_BEFORE, before))).cast(outs).alias("out"))
+
+        return T.let(chosen, after)
+
+    said = lambda e: F.when(e["role"].isin("option", "decision"), normal_option(F.concat_ws(" ", e["title"], e["text"])))
+    short = F.transform(log, lambda e: F.struct(e["role"].alias("role"), e["scope"].alias("scope"), e["id"].alias("id"), e["own"].alias("own"), e["at"].alias("at"), said(e).alias("said")))
+    start = F.struct(*(F.expr(f"cast({'array()' if kind.startswith('array') else 'null'} as {kind})").alias(k) for k, kind in _STATE.items()), F.expr(f"cast(array() as {outs})").alias("out"))
+    return F.aggregate(short, start, step, lambda acc: acc["out"])
+
+
+def _edges(e: Column, c: Column) -> Column:
+    """The edges of an event, by the rules of carried state, as an array of (src, dst, label, pos)."""
+    role = e["role"]
+    row = e["scope"] == "row"
+    free = ~row
+    rules = [
+        (F.lit(True), e["parent"], e["id"], F.lit("contains")),
+        (free & (role == "context"), c["P"], e["id"], F.lit("has_context")),
+        (free & (role == "context"), c["D"], e["id"], F.lit("informed_by")),
+        (role == "option", c["P"], e["id"], F.lit("has_option")),
+        (free & role.isin("pros", "cons", "tradeoff"), c["O"], e["id"], role),
+        (row & role.isin("pros", "cons", "tradeoff"), c["row_opt"], e["id"], role),
+        (role == "decision", c["P"], e["id"], F.lit("resolved_by")),
+        (role == "decision", e["id"], c["sel"], F.lit("selects")),
+        (free & (role == "consequence"), c["D"], e["id"], F.lit("has_consequence")),
+        (free & (role == "consequence"), F.coalesce(c["S"], c["O"]), e["id"], F.lit("has_consequence")),
+        (row & (role == "consequence"), c["row_opt"], e["id"], F.lit("has_consequence")),
+        (role == "confidence", c["D"], e["id"], F.lit("has_confidence")),
+        (row & (role == "confidence") & c["D"].isNull(), c["row_opt"], e["id"], F.lit("confidence")),
+    ]
+    edge = lambda a, b, how, *more: F.struct(a.alias("src"), b.alias("dst"), how.alias("label"), F.concat(e["at"], *more).alias("pos"))
+    out = F.array_compact(F.array(*(F.when(ok & a.isNotNull() & b.isNotNull(), edge(a, b, how, F.array(F.lit(k).cast("long")))) for k, (ok, a, b, how) in enumerate(rules))))
+    told = F.transform(F.coalesce(c["ctx"], F.array().cast(_TOLD)), lambda x: edge(e["id"], x["id"], F.lit("informed_by"), F.array(F.lit(20).cast("long")), x["at"]))
+    return F.concat(out, told)
+
+
+def with_edges(logs: DataFrame) -> DataFrame:
+    """Adds edges, an array of (src, dst, label, pos), to documents with their logs."""
+    return logs.withColumn("edges", F.flatten(F.zip_with("log", _carried(F.col("log")), _edges)))
 
 
 def decision_edges(log: DataFrame) -> DataFrame:
-    """(graph_id, src, dst, label, pos) by the rules of carried state: P last problem, O current option, D current
-    decision, S option selected by it, all before the event. One window over each document; the only join is of
-    decisions with earlier options and contexts of their document."""
-    w = Window.partitionBy("graph_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    role, scope = F.col("role"), F.col("scope")
-    carry = lambda cond, value="id": F.last(F.when(cond, F.col(value)), ignorenulls=True).over(w)
-    e = log.withColumns({
-        "P": carry((role == "problem") & (scope != "row")),
-        "O": carry(role == "option"),
-        "D": carry(role == "decision"),
-        "D_at": carry(role == "decision", "at"),
-    })
-    e = e.withColumn("row_opt", F.when(scope == "row", F.coalesce("own", "O")))
-    dec = e.where((role == "decision") & (scope != "row")).select("graph_id", "id", "at", normal_option(F.concat_ws(" ", "title", "text")).alias("said"), "O")
-    opts = log.where("role = 'option'").select("graph_id", F.col("id").alias("oid"), F.col("at").alias("oat"), normal_option(F.concat_ws(" ", "title", "text")).alias("otext"))
-    scored = dec.join(opts, (dec.graph_id == opts.graph_id) & (opts.oat < dec["at"])).select(dec.graph_id, "id", "at", "oid", "oat", option_score(F.col("otext"), F.col("said")).alias("score")).where("score > 0")
-    best = scored.groupBy("graph_id", "id", "at").agg(F.max_by("oid", F.struct("score", F.transform("oat", lambda x: -x))).alias("best"))
-    chosen = dec.join(best, ["graph_id", "id", "at"], "left").select("graph_id", "at", F.coalesce("best", "O").alias("sel"))
-    rowsel = e.where((role == "decision") & (scope == "row")).select("graph_id", "at", F.col("row_opt").alias("sel"))
-    e = e.join(chosen.union(rowsel), ["graph_id", "at"], "left")
-    sel = e.where("role = 'decision'").select("graph_id", F.col("at").alias("D_at"), F.col("sel").alias("S"))
-    e = e.join(sel, ["graph_id", "D_at"], "left")
-    free, row = scope != "row", scope == "row"
-    rules = [
-        (F.lit(True), "parent", "id", F.lit("contains")),
-        (free & (role == "context"), "P", "id", F.lit("has_context")),
-        (free & (role == "context"), "D", "id", F.lit("informed_by")),
-        (role == "option", "P", "id", F.lit("has_option")),
-        (free & role.isin("pros", "cons", "tradeoff"), "O", "id", role),
-        (row & role.isin("pros", "cons", "tradeoff"), "row_opt", "id", role),
-        (role == "decision", "P", "id", F.lit("resolved_by")),
-        (role == "decision", "id", "sel", F.lit("selects")),
-        (free & (role == "consequence"), "D", "id", F.lit("has_consequence")),
-        (free & (role == "consequence"), "SO", "id", F.lit("has_consequence")),
-        (row & (role == "consequence"), "row_opt", "id", F.lit("has_consequence")),
-        (role == "confidence", "D", "id", F.lit("has_confidence")),
-        (row & (role == "confidence") & F.col("D").isNull(), "row_opt", "id", F.lit("confidence")),
-    ]
-    e = e.withColumn("SO", F.coalesce("S", "O"))
-    out = F.array(*(F.when(c & F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), how.alias("label"), F.lit(k).alias("k"))) for k, (c, a, b, how) in enumerate(rules)))
-    edges = e.select("graph_id", "at", F.explode(F.array_compact(out)).alias("x"))
-    edges = edges.select("graph_id", "x.src", "x.dst", "x.label", F.concat("at", F.array(F.col("x.k").cast("long"))).alias("pos"))
-    ctx = log.where("role = 'context' AND scope <> 'row'").select("graph_id", F.col("id").alias("cid"), F.col("at").alias("cat"))
-    told = dec.join(ctx, (dec.graph_id == ctx.graph_id) & (ctx.cat < dec["at"])).select(dec.graph_id, F.col("id").alias("src"), F.col("cid").alias("dst"), F.lit("informed_by").alias("label"), F.concat("at", F.array(F.lit(20).cast("long")), "cat").alias("pos"))
-    return edges.unionByName(told)
+    """(graph_id, src, dst, label, pos) of a log in rows, in any order, by the rules of carried state. For documents at
+    hand, with_edges(logs(docs)) has the same without a shuffle."""
+    own = log.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("log"))
+    return with_edges(own).select("graph_id", F.inline("edges"))
 
 
 def decision_graph(docs: DataFrame) -> Graph:
     """docs (graph_id, source, text) to their decision graphs."""
     g, src = F.col("graph_id"), F.col("source")
-    log = events(docs)
-    root = T.node_id("decision_document", F.when(F.coalesce(src, F.lit("")) != "", src).otherwise("document"))
+    own = logs(docs)
+    log = own.select("graph_id", "source", "root", F.inline("log"))
+    edges = with_edges(own).select("graph_id", F.inline("edges"))
     name = F.when(F.coalesce(src, F.lit("")) != "", src).otherwise("Decision Document")
     base = {"source": src, "extraction_method": F.lit("static")}
-    docs = docs.withColumn("root", root)
+    docs = docs.withColumn("root", _root(src))
     top = docs.select(*node_row(g, F.col("root"), name, T.cut(F.coalesce("text", F.lit("")), 4000), {"type": F.lit("decision_document"), **base}, [F.lit(-1)]))
     attrs = {"type": F.col("role"), "level": F.col("level"), "document_id": F.col("root"), "section": F.when(F.col("scope") != "section", F.col("section")), "decision_status": F.col("status"), **base}
     made = node_row(g, F.col("id"), F.col("title"), F.col("text"), attrs, [F.lit(0)])
-    graph = merged(Graph(top.unionByName(log.select(*made[:-1], F.col("at").alias("pos"))), decision_edges(log)))
+    graph = merged(Graph(top.unionByName(log.select(*made[:-1], F.col("at").alias("pos"))), edges))
     graph.roots = docs.select("graph_id", F.col("root").alias("current_node_id"))
     return graph
 
 
-__all__ = ["decision_edges", "decision_graph", "edge_row", "events", "header_role", "item_role", "items", "normal_option", "option_rows", "option_score", "positive_cell", "reduce", "section_role"]
+__all__ = ["decision_edges", "decision_graph", "edge_row", "events", "header_role", "item_role", "items", "logs", "normal_option", "option_score", "option_tables", "positive_cell", "reduce", "section_role", "with_edges"]
