@@ -29,3 +29,10 @@ def test_edges_of_documents_are_those_of_the_log(spark):
     assert got == rows(decision.decision_edges(decision.events(d).orderBy(F.rand(1))))
     selects = [r.dst for r in decision.decision_edges(decision.events(d)).where("label = 'selects'").orderBy("pos").collect()]
     assert ["cheap" in x for x in selects] == [True, False]
+
+
+@pytest.mark.parametrize("name", ["md_table_rows", "table_evidence"])
+def test_tables_are_read_in_their_section(spark, name):
+    df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and exchanges(df) <= 1
