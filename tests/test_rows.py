@@ -36,3 +36,17 @@ def test_tables_are_read_in_their_section(spark, name):
     df = entry.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and exchanges(df) <= 1
+
+
+def test_ranks_over_titles_are_those_over_pairs(spark, monkeypatch):
+    from tessera.operators import links, rank
+
+    texts = [("a b", "a b then c d"), ("a b", "c d"), ("c d", "A B and c d"), ("", "e f a b"), ("e f", ""), ("g", "grape g-g")]
+    n = spark.createDataFrame([("g", str(i), t, x, float(i % 2)) for i, (t, x) in enumerate(texts)], "graph_id string, node_id string, label string, content string, score double")
+    held = links.titles_held(n)
+    edges = links.title_links(n).withColumn("graph_id", F.lit("g"))
+    assert edges.count() == 8 and held.count() == 8
+    want = {r.node_id: r["rank"] for r in rank.ranks_by_graph(n, edges, 5, tol=0.0).collect()}
+    for most in (rank.LOCAL_SIZE, 0):
+        monkeypatch.setattr(rank, "LOCAL_SIZE", most)
+        assert {r.node_id: r["rank"] for r in rank.ranks_by_titles(n, held, 5, tol=0.0).collect()} == pytest.approx(want)
