@@ -50,3 +50,9 @@ def test_ranks_over_titles_are_those_over_pairs(spark, monkeypatch):
     for most in (rank.LOCAL_SIZE, 0):
         monkeypatch.setattr(rank, "LOCAL_SIZE", most)
         assert {r.node_id: r["rank"] for r in rank.ranks_by_titles(n, held, 5, tol=0.0).collect()} == pytest.approx(want)
+
+
+def test_support_reads_documents_once(spark):
+    df = entry.queries()["support_edges"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and exchanges(df) == 0
