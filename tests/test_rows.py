@@ -38,6 +38,18 @@ def test_tables_are_read_in_their_section(spark, name):
     assert "Window" not in plan and exchanges(df) <= 1
 
 
+@pytest.mark.parametrize("name", ["md_table_rows"])
+def test_orders_are_dealt_without_gathering_rows(spark, name):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        df = entry.queries()[name](spark, SF)
+        parts = df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert 24 <= parts <= 200  # spark.shuffle.sort.bypassMergeThreshold
+
+
 def test_ranks_over_titles_are_those_over_pairs(spark, monkeypatch):
     from tessera.operators import links, rank
 
