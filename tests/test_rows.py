@@ -50,6 +50,22 @@ def test_orders_are_dealt_without_gathering_rows(spark, name):
     assert 24 <= parts <= 200  # spark.shuffle.sort.bypassMergeThreshold
 
 
+@pytest.mark.parametrize("name", ["md_table_rows", "table_evidence", "decision_roles", "decision_items", "option_selection"])
+def test_tasks_over_orders_hold_no_rows(spark, name):
+    sc, was = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    sc.setJobGroup(group := f"peak of {name}", name)
+    try:
+        entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup(group) for i in sc.statusTracker().getJobInfo(j).stageIds}
+    ran = [s for i in stages if (s := sc._jsc.sc().statusStore().lastStageAttempt(i)).numCompleteTasks()]
+    assert len(ran) >= 2 and [s.peakExecutionMemory() for s in ran] == [0] * len(ran)
+
+
 def test_ranks_over_titles_are_those_over_pairs(spark, monkeypatch):
     from tessera.operators import links, rank
 
