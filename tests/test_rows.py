@@ -66,6 +66,14 @@ def test_tasks_over_orders_hold_no_rows(spark, name):
     assert len(ran) >= 2 and [s.peakExecutionMemory() for s in ran] == [0] * len(ran)
 
 
+@pytest.mark.parametrize(("name", "n"), [("md_table_rows", 2), ("table_evidence", 1)])
+def test_orders_with_one_key_keep_their_tables(spark, tmp_path, name, n):
+    rows = [(1, 5.0, "1-URGENT"), (1, 6.5, "5-LOW"), (1, 6.5, "5-LOW"), (-7, 0.0, "")]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r.o_orderkey, r.row_index) for r in got) == sorted((k, i) for k, _, _ in rows for i in range(n))
+
+
 def test_ranks_over_titles_are_those_over_pairs(spark, monkeypatch):
     from tessera.operators import links, rank
 
